@@ -5,21 +5,85 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quern.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_fracminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.fracminhash import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.ngram_join import ngram_jaccard_join
 
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.language_id import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.license_rules import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+#: The mixture of op10_mix: weights by level (others: 1), share of all tokens, epochs at most.
+MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 3}}
+MIX_SHARE, MIX_SEED, MIX_EPOCHS = (3, 4), 20240607, 4
+
+
+def mix_domain():
+    """Sources belong to one of four domains by their number."""
+    return F.concat(F.lit("d"), (F.expr("try_cast(regexp_extract(source, '[0-9]+$', 0) as bigint)") % 4).cast("string"))
+
+
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.mixing import mix
+
+    share = F.floor(F.sum("tokens") * MIX_SHARE[0] / MIX_SHARE[1])
+    out = mix(_table(spark, sf_dir, "documents"), mix_domain(), MIX_WEIGHTS, share, MIX_SEED, MIX_EPOCHS)
+    return out.select("doc_id", "lang", "source", "mix_domain", "mix_epoch", "mix_tokens")
+
+
+def _mix_sql() -> str:
+    case = lambda level: "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {w}" for k, w in sorted(MIX_WEIGHTS[level].items())) + " ELSE 1 END"
+    fill = lambda n, at, level, budget: f"""
+n{n} AS (SELECT {', '.join([*at, level])}, sum(capacity)::BIGINT AS capacity, {case(level)} AS weight FROM leaves GROUP BY {', '.join([*at, level])}),
+l{n} AS (SELECT c.*, b.budget, (b.budget - coalesce(sum(capacity) OVER (PARTITION BY {', '.join(['1', *('c.' + a for a in at)])} ORDER BY capacity / weight, c.{level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(weight) OVER (PARTITION BY {', '.join(['1', *('c.' + a for a in at)])} ORDER BY capacity / weight, c.{level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM n{n} c {budget}),
+g{n} AS (SELECT {', '.join([*at, level])}, least(capacity::DOUBLE, weight * max(level) OVER (PARTITION BY {', '.join(['1', *at])})) AS budget FROM l{n})"""
+    return f"""WITH words AS (SELECT doc_id, lang AS lang0, source AS source0, coalesce('d' || (try_cast(nullif(regexp_extract(source, '[0-9]+$'), '') AS BIGINT) % 4)::VARCHAR, '(none)') AS domain,
+    coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, greatest(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')), 1)::BIGINT AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, sum(tokens)::BIGINT * {MIX_EPOCHS} AS capacity FROM words GROUP BY ALL),
+total AS (SELECT floor(sum(tokens)::DOUBLE * {MIX_SHARE[0]} / {MIX_SHARE[1]}) AS budget FROM leaves),{fill(1, [], 'domain', 'CROSS JOIN total b')},{fill(2, ['domain'], 'lang', 'JOIN g1 b ON b.domain = c.domain')},{fill(3, ['domain', 'lang'], 'source', 'JOIN g2 b ON b.domain = c.domain AND b.lang = c.lang')},
+targets AS (SELECT l.domain, l.lang, l.source, floor(g.budget)::BIGINT // l.tokens AS whole, floor(g.budget)::BIGINT % l.tokens AS rest FROM leaves l JOIN g3 g USING (domain, lang, source)),
+keyed AS (SELECT w.*, t.whole, t.rest, md5('{MIX_SEED}:' || t.whole || ':' || coalesce(w.doc_id::VARCHAR, '')) AS k FROM words w JOIN targets t USING (domain, lang, source)),
+run AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM keyed),
+taken AS (SELECT doc_id, lang0, source0, domain, e.epoch, tokens FROM run, range(0, whole) e(epoch)
+    UNION ALL SELECT doc_id, lang0, source0, domain, whole, least(tokens, rest - before) FROM run WHERE before < rest)
+SELECT doc_id, lang0 AS lang, source0 AS source, domain AS mix_domain, epoch AS mix_epoch, tokens AS mix_tokens FROM taken"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op3_pack, op4_fracminhash, op5_ngram_jaccard_join, op8_cross_parsing, op9_license_rules, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mix": _mix_sql()}
