@@ -12,6 +12,36 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.secret_crf import secret_scan
+
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
+def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.chat_preference import format_preferences, neighbour_pairs
+
+    return format_preferences(neighbour_pairs(_table(spark, sf_dir, "conversations")))
+
+
+_PREFERENCE_SQL = """WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations),
+l AS (SELECT conv_id, max(CASE WHEN role = 'assistant' THEN pos END) AS last FROM t GROUP BY conv_id),
+r AS (SELECT l.conv_id, l.last, t.text AS reply FROM l LEFT JOIN t ON t.conv_id = l.conv_id AND t.pos = l.last),
+f AS (SELECT reply FROM r WHERE conv_id = (SELECT min(conv_id) FROM conversations)),
+d AS (SELECT r.conv_id, r.last, CASE WHEN n.conv_id IS NOT NULL THEN n.reply ELSE (SELECT reply FROM f) END AS other FROM r LEFT JOIN r n ON n.conv_id = r.conv_id + 1),
+p AS (SELECT t.conv_id, t.pos, t.role, t.text AS ctext, CASE WHEN t.pos = d.last AND d.other IS NOT NULL THEN d.other ELSE t.text END AS rtext FROM t JOIN d USING (conv_id)),
+k AS (SELECT conv_id, coalesce(min(CASE WHEN ctext <> rtext THEN pos END) - 1, max(pos)) AS k FROM p GROUP BY conv_id),
+s AS (SELECT p.*, k.k, '<|im_start|>' || role || chr(10) || ctext || '<|im_end|>' || chr(10) AS crow, '<|im_start|>' || role || chr(10) || rtext || '<|im_end|>' || chr(10) AS rrow FROM p JOIN k USING (conv_id)),
+o AS (SELECT *, coalesce(sum(length(crow)) FILTER (pos > k) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cat,
+    coalesce(sum(length(rrow)) FILTER (pos > k) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rat FROM s)
+SELECT conv_id AS pair_id, max(k)::BIGINT AS prompt_turns, coalesce(string_agg(crow, '' ORDER BY pos) FILTER (pos <= k), '') AS prompt,
+    coalesce(string_agg(crow, '' ORDER BY pos) FILTER (pos > k), '') AS chosen, coalesce(string_agg(rrow, '' ORDER BY pos) FILTER (pos > k), '') AS rejected,
+    coalesce(string_agg((cat + length(role) + 13) || ':' || (cat + length(role) + 13 + length(ctext) + 10), ',' ORDER BY pos) FILTER (pos > k AND role = 'assistant'), '') AS chosen_mask,
+    coalesce(string_agg((rat + length(role) + 13) || ':' || (rat + length(role) + 13 + length(rtext) + 10), ',' ORDER BY pos) FILTER (pos > k AND role = 'assistant'), '') AS rejected_mask
+FROM o GROUP BY conv_id"""
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,6 +62,12 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op6_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.pii_semicrf import pii_scan
+
+    return pii_scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.language_id import identify
 
@@ -82,8 +118,8 @@ SELECT doc_id, lang0 AS lang, source0 AS source, domain AS mix_domain, epoch AS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pack, op4_fracminhash, op5_ngram_jaccard_join, op8_cross_parsing, op9_license_rules, op10_mix)}
+    return {f.__name__: f for f in (op1_secret_crf, op2_preference, op3_pack, op4_fracminhash, op5_ngram_jaccard_join, op6_pii_semicrf, op8_cross_parsing, op9_license_rules, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix": _mix_sql()}
+    return {"op2_preference": _PREFERENCE_SQL, "op10_mix": _mix_sql()}
