@@ -68,6 +68,12 @@ def op6_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.nn_descent import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.language_id import identify
 
@@ -118,7 +124,7 @@ SELECT doc_id, lang0 AS lang, source0 AS source, domain AS mix_domain, epoch AS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_crf, op2_preference, op3_pack, op4_fracminhash, op5_ngram_jaccard_join, op6_pii_semicrf, op8_cross_parsing, op9_license_rules, op10_mix)}
+    return {f.__name__: f for f in (op1_secret_crf, op2_preference, op3_pack, op4_fracminhash, op5_ngram_jaccard_join, op6_pii_semicrf, op7_nn_descent, op8_cross_parsing, op9_license_rules, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
