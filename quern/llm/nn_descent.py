@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import map_batches, materialize, prepare, task_count
 
-NEIGHBOURS, SAMPLE, ITERATIONS = 32, 10, 6
-TREES, LEAF = 6, 64
-EF, EXPAND, ROUNDS, EXACT = 96, 12, 5, 32
+NEIGHBOURS, SAMPLE, ITERATIONS = 64, 20, 16
+TREES, LEAF = 8, 128
+EF, EXPAND, ROUNDS, EXACT = 160, 16, 6, 32
+#: The graph is done when so few of its edges are new.
+SETTLED = 0.08
 SEED = 5
 GRAPH = "u bigint, ids array<bigint>, sims array<float>, fresh array<boolean>"
 
@@ -232,7 +234,8 @@ def neighbour_graph(nodes: DataFrame, iterations: int = ITERATIONS) -> DataFrame
         met = _by(edges.join(known, "x").select("w", "x", "fresh", "least", "unit"), "w", "x").mapInArrow(_introduce, GRAPH)
         marked = map_batches(graph, _Edges(turn, True), GRAPH)
         graph = materialize(_by(marked.unionByName(met), "u").mapInArrow(_merge, GRAPH), "graph")
-        if graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] in (None, 0):
+        new, every = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))), F.sum(F.size("fresh"))).first()
+        if (new or 0) <= SETTLED * (every or 0):
             break
     return graph
 
