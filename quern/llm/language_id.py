@@ -195,6 +195,27 @@ class _Predict:
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(lang), pa.array(np.where(hit, score, 0.0)), pa.array(np.where(hit, least, 0.0))], [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score", "phrase_rate"])
 
 
+class _Accept:
+    def __init__(self, samples: dict[str, str], most: float) -> None:
+        self.samples, self.most = samples, most
+
+    def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        rates, letters = parser(self.samples).rates(batch.column("text").to_pylist())
+        return batch.filter(pa.array(letters & ((rates.min(1) <= self.most) if rates.shape[1] else True)))
+
+
+#: Normalised phrases for each character beyond which a text is in none of the learned languages. Texts of a learned language
+#: have 1 to 5; a text of unknown letters, where each is a phrase, has the log size of an automaton, about 15.
+MOST_RATE = 6.0
+
+
+def in_known_language(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in a learned language. Null texts and texts without letters go."""
+    prepare(docs.sparkSession)
+    samples = learn(docs) if samples is None else samples
+    return map_batches(docs, _Accept(samples, MOST_RATE), docs.schema)
+
+
 def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, phrase_rate for each row of docs (columns doc_id, text, lang).
 

@@ -328,13 +328,4 @@ def pii_scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data in text replaced by its kind; null text stays null, other columns stay as they are."""
     prepare(docs.sparkSession)
-    return docs.mapInArrow(_Mapped(_Redact(trained())), docs.schema)
-
-
-class _Mapped:
-    def __init__(self, fn: _Redact) -> None:
-        self.fn = fn
-
-    def __call__(self, batches):
-        for batch in batches:
-            yield self.fn(batch)
+    return map_batches(docs, _Redact(trained()), docs.schema)

@@ -123,8 +123,14 @@ taken AS (SELECT doc_id, lang0, source0, domain, e.epoch, tokens FROM run, range
 SELECT doc_id, lang0 AS lang, source0 AS source, domain AS mix_domain, epoch AS mix_epoch, tokens AS mix_tokens FROM taken"""
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_crf, op2_preference, op3_pack, op4_fracminhash, op5_ngram_jaccard_join, op6_pii_semicrf, op7_nn_descent, op8_cross_parsing, op9_license_rules, op10_mix)}
+    return {f.__name__: f for f in (op1_secret_crf, op2_preference, op3_pack, op4_fracminhash, op5_ngram_jaccard_join, op6_pii_semicrf, op7_nn_descent, op8_cross_parsing, op9_license_rules, op10_mix, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
