@@ -79,8 +79,9 @@ def rules() -> tuple[Rule, ...]:
     """All rules, highest priority first; a longer name goes before its own beginning."""
     out = [Rule(label, (key, *more), re.compile(f" {form.format(f'(?:{name})')}(?= )".encode()), base + name.count(" ") + 2 * bool(re.search(r"\d|sa|nc|nd", label)), sure) for label, key, name in NAMES for form, base, sure, more in FORMS]
     out += [Rule(label, (key,), re.compile(f" {name}(?= )".encode("latin-1")), base, sure) for label, key, name, base, sure in NOTICES]
-    # short names of Creative Commons are found by themselves
+    # names of Creative Commons, and names with a version and the word license or GNU's abbreviations, are found by themselves
     out += [Rule(label, (key,), re.compile(f" {name}(?: [1-4] 0)?(?= )".encode()), 9 + name.count(" "), 0.7) for label, key, name in NAMES if key in ("cc by", "cc0", "creative commons")]
+    out += [Rule(label, (key,), re.compile(f" {name}(?= )".encode()), 11 + name.count(" "), 0.8) for label, key, name in NAMES if re.search(r"\d", label) and ("gpl" in label or "license (?:version" in name)]
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
@@ -128,7 +129,7 @@ def detections(norm: bytes) -> list[tuple[int, int, Rule]]:
     return [(norm.count(b" ", 0, a), norm.count(b" ", 0, b), r) for a, b, r in sorted(kept, key=lambda x: x[:2])]
 
 
-_HINTS = (b"licen", b"copyright", b"rights reserved", b"public domain", b"warrant", b"permission", b"redistribution", b"proprietary", b"confidential", b"free software", b"training", b"creative commons", b"cc0", b"cc by", b"cc zero", b"as is", b"spdx", b" under ", b"terms of", b"conditions of")
+_HINTS = (b"licen", b"copyright", b"rights reserved", b"public domain", b"warrant", b"permission", b"redistribution", b"proprietary", b"confidential", b"free software", b"training", b"creative commons", b"cc0", b"cc by", b"cc zero", b"as is", b"spdx", b" under ", b"terms of", b"conditions of", b"gpl")
 
 
 def scan(text: str) -> dict:
