@@ -397,8 +397,8 @@ def st4(t: Tables) -> DataFrame:
 @query("ST5")
 def st5(t: Tables) -> DataFrame:
     out = _folder(t.spark, "sessions")
-    J.run_once(J.sessions(_stream(t, "events").select("ts")), out, _folder(t.spark, "check"))
-    return t.spark.read.schema("start timestamp, total bigint").parquet(out)
+    J.run_once(J.sessions(_stream(t, "events").select("ts", (F.col("user_id") % 1).alias("counter"))), out, _folder(t.spark, "check"))
+    return t.spark.read.schema("counter bigint, start timestamp, total bigint").parquet(out)
 
 
 @query("ST6", "SELECT user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_type) AS old FROM {events}) WHERE event_type IS DISTINCT FROM old")

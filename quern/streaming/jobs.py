@@ -66,8 +66,8 @@ def changed_pages(pages: DataFrame, key: str = "url", mark: str = "last_crawled"
 
 
 def sessions(searches: DataFrame, gap: str = "24 hours") -> DataFrame:
-    """start, total: searches until a pause of a day; closed sessions are appended as the watermark passes."""
-    return timed(searches).withWatermark("ts", "1 hour").groupBy(F.session_window("ts", gap), F.lit("all").alias("counter")).agg(F.count("*").alias("total")).select(F.col("session_window.start").alias("start"), "total")
+    """counter, start, total: searches (ts, counter) until a pause of a day; closed sessions are appended as the watermark passes."""
+    return timed(searches).withWatermark("ts", "1 hour").groupBy(F.session_window("ts", gap), "counter").agg(F.count("*").alias("total")).select("counter", F.col("session_window.start").alias("start"), "total")
 
 
 def job_log(actions: DataFrame) -> DataFrame:
