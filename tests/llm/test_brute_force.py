@@ -56,7 +56,10 @@ def test_ngram_join_of_documents(spark, data, docs):
     assert got == {k: (len(sets[k]), want[k]) for k in sets}
 
 
-def test_ngram_join_of_drifting_copies(spark, monkeypatch):
+@pytest.mark.parametrize("rows_in_block", [4096, 12])
+def test_ngram_join_of_drifting_copies(spark, monkeypatch, rows_in_block):
+    monkeypatch.setattr(J, "BLOCK_ROWS", rows_in_block)
+    monkeypatch.setattr(J, "PIVOTS", 3)
     r = random.Random(3)
     base = [f"w{r.randrange(4000)}" for _ in range(150)]
     rows, now = [], base
@@ -69,6 +72,32 @@ def test_ngram_join_of_drifting_copies(spark, monkeypatch):
     assert got == _components({k: _shingles(t) for k, t in rows})
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_links_across_the_blocks_of_a_large_family(spark, monkeypatch, seed):
+    """Several clusters that share a few shingles are one family of many blocks; all their links cross blocks."""
+    monkeypatch.setattr(J, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(J, "PIVOTS", 1)
+    monkeypatch.setattr(J, "COLUMN_ROWS", 1)
+    r = random.Random(seed)
+    shared = [f"s{i}" for i in range(30)]
+    rows = []
+    for c in range(8):
+        base = [f"c{c}w{i}" for i in range(60)]
+        for _ in range(r.randrange(1, 12)):
+            w = list(base)
+            for _ in range(r.randrange(3)):
+                w[r.randrange(60)] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows) * 7 % 1009, " ".join(shared + w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = _components({k: _shingles(t) for k, t in rows})
+    # one family for all, whatever the prefixes say
+    real = J.candidate_families
+    monkeypatch.setattr(J, "candidate_families", lambda x: J.materialize(x.where("node is not null").selectExpr("node", "cast(1 as bigint) as family", "cast(9 as int) as blocks").distinct(), "all"))
+    assert {x["doc_id"]: x["component_id"] for x in J.ngram_jaccard_join(docs).collect()} == want
+    monkeypatch.setattr(J, "candidate_families", real)
+    assert {x["doc_id"]: x["component_id"] for x in J.ngram_jaccard_join(docs).collect()} == want
+
+
 def test_blocks_of_a_family_find_all_links():
     r = np.random.default_rng(1)
     sets = [np.unique(r.choice(np.arange(100, dtype=np.uint64), 60, replace=False)) if i % 3 else np.unique(np.r_[np.arange(80, dtype=np.uint64), r.integers(100, 120, 4).astype(np.uint64)]) for i in range(60)]
