@@ -149,7 +149,7 @@ class CrossParser:
 
 
 def learn(docs: DataFrame) -> dict[str, str]:
-    """A bounded sample of labelled text for each language; rows are chosen by a hash of text and doc_id."""
+    """A bounded sample of labelled text for each language; rows are chosen by a hash of their text."""
     prepare(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
@@ -158,7 +158,7 @@ def learn(docs: DataFrame) -> dict[str, str]:
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 3 * SAMPLE_DOCS / r["count"]))).otherwise(share)
-    rank = F.xxhash64("doc_id", F.col("lang")).alias("rank")
+    rank = F.xxhash64("text").alias("rank")
     part = F.substring("text", 1, SAMPLE_CHARS).alias("part")
     rows = known.select("lang", rank, part, share.alias("share")).where("(rank & 16777215) < share * 16777216 and part rlike '\\\\p{L}'").select("lang", "rank", "part").collect()
     out: dict[str, list[str]] = {}
