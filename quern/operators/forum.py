@@ -52,15 +52,14 @@ def serialised(posts: DataFrame, communities: DataFrame, users: DataFrame) -> Da
 def comment_paths(comments: DataFrame) -> DataFrame:
     """comment_id, post_id, path, depth of the comments that a root comment of the same post reaches within MAX_DEPTH.
 
-    One join for each level; a level is as large as its comments.
+    Every comment climbs to its root, one join for each level; a parent with many replies is the unique side of that join.
     """
-    level = comments.where("parent_id is null").select("comment_id", "post_id", F.array("comment_id").alias("path"), F.lit(0).alias("depth"))
-    out = level
-    child = comments.where("parent_id is not null").select(F.col("comment_id").alias("__id"), F.col("post_id").alias("__post"), "parent_id")
-    for d in range(1, MAX_DEPTH + 1):
-        level = child.join(level, (F.col("parent_id") == F.col("comment_id")) & (F.col("__post") == F.col("post_id"))).select(F.col("__id").alias("comment_id"), "post_id", F.concat("path", F.array("__id")).alias("path"), F.lit(d).alias("depth"))
-        out = out.unionByName(level)
-    return out
+    parent = comments.select(F.col("comment_id").alias("__id"), F.col("post_id").alias("__post"), F.col("parent_id").alias("__up"))
+    rows = comments.select("comment_id", "post_id", F.col("parent_id").alias("up"), F.array("comment_id").alias("path"))
+    for _ in range(MAX_DEPTH):
+        rows = rows.join(parent, (F.col("up") == F.col("__id")) & (F.col("post_id") == F.col("__post")), "left").where("up is null or __id is not null")
+        rows = rows.select("comment_id", "post_id", F.col("__up").alias("up"), F.when(F.col("__id").isNotNull(), F.concat(F.array("__id"), "path")).otherwise(F.col("path")).alias("path"))
+    return rows.where("up is null").select("comment_id", "post_id", "path", (F.size("path") - 1).alias("depth"))
 
 
 def reply_depth(comments: DataFrame, paths: DataFrame) -> DataFrame:

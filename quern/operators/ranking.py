@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import shared_dir
+
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a table in the folder that the cluster shares (spark.checkpoint.dir), so that lost executors cost no round."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(made := tempfile.mkdtemp(prefix="quern-shared-"))
-        root = f"file://{made}"
-    path = os.path.join(root, f"quern-{uuid.uuid4().hex}", name)
+    path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -36,18 +32,21 @@ def tf_idf(words: DataFrame, metadata: DataFrame) -> DataFrame:
 def page_rank(edges: DataFrame, nodes: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """node, rank after some synchronous rounds from 1 / N; a dangling node's rank is not dealt out.
 
-    edges: src, dst; out-degree counts all of them. Contributions are pre-aggregated by the shuffle's map side; edges and out-degrees are
-    joined once and written by src, so each round joins the ranks, sums by dst and writes N rows.
+    edges: src, dst; out-degree counts all of them. The edges with their degrees are dealt out by src once and kept, so that a round shuffles
+    only ranks and contributions, which the map side has summed. Ranks are written every third round; a lost executor's
+    part of the kept edges is computed again from their table.
     """
     n = nodes.count()
-    links = saved(edges.join(edges.groupBy("src").agg(F.count("*").alias("degree")), "src").select("src", "dst", "degree"), "links")
+    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
+    links = saved(edges.join(degree, "src").select("src", "dst", "degree"), "links").repartition("src").persist()
     nodes = saved(nodes.select("node"), "nodes")
     rank = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
     for i in range(rounds):
         given = links.join(rank.withColumnRenamed("node", "src"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
         rank = nodes.join(given.withColumnRenamed("dst", "node"), "node", "left").select("node", (F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
-        if i % 3 == 2 and i + 1 < rounds:
+        if i % 3 == 2 or i + 1 == rounds:
             rank = saved(rank, "rank")
+    links.unpersist()
     return rank
 
 

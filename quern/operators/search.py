@@ -43,21 +43,27 @@ def pager_end(total: Column) -> Column:
     return F.greatest(F.least(F.ceil(total / PER_PAGE), F.lit(10)), F.lit(2)).cast("bigint")
 
 
+def _of(table: DataFrame, cut: DataFrame, key: str) -> DataFrame:
+    """The rows of a table for one page of results: the page's keys are broadcast, so the table is scanned without a shuffle. key is unique in the table."""
+    return table.join(F.broadcast(cut.select(key)), key, "left_semi")
+
+
 def search(weights: DataFrame, metadata: DataFrame, rank: DataFrame, q: str, page: int = 1, per_page: int = PER_PAGE) -> DataFrame:
     """One page of results. The page is cut by matches and weight; the rank only orders the rows within it."""
     hits = relevance(matches(weights, q))
     cut = paged(hits, [F.desc("match_count"), F.desc("cum_weight"), F.asc("url")], page, per_page)
-    cut = F.broadcast(cut)  # per_page rows
-    out = metadata.join(cut, "url", "right").join(rank.select(F.col("node").alias("url"), "rank"), "url", "left")
+    about, ranks = _of(metadata, cut, "url"), _of(rank.select(F.col("node").alias("url"), "rank"), cut, "url")
+    out = cut.join(F.broadcast(about), "url", "left").join(F.broadcast(ranks), "url", "left")
     score = blended(F.col("cum_weight"), F.col("rank"))
     return out.select("url", "match_count", "cum_weight", F.coalesce("rank", F.lit(0.0)).alias("rank"), score.alias("combined"), F.coalesce("title", F.lit("")).alias("title"), T.snippet(F.coalesce("description", "summary_text", F.lit("")), 200).alias("snippet"))
 
 
 def image_search(word_images: DataFrame, images: DataFrame, metadata: DataFrame, q: str, page: int = 1, per_page: int = PER_PAGE) -> DataFrame:
     """One page of images by matches and weight, with their pages' titles."""
-    cut = F.broadcast(paged(relevance(matches(word_images, q), "image_url"), [F.desc("match_count"), F.desc("cum_weight"), F.asc("image_url")], page, per_page))
-    about = images.join(cut, "image_url", "right")
-    return metadata.select(F.col("url").alias("page_url"), "title").join(about, "page_url", "right").select("image_url", "match_count", "cum_weight", F.coalesce("page_url", F.lit("")).alias("page_url"), F.coalesce("alt", F.lit("")).alias("alt"), F.coalesce("filename", F.lit("")).alias("filename"), F.coalesce("title", F.lit("")).alias("page_title"))
+    cut = paged(relevance(matches(word_images, q), "image_url"), [F.desc("match_count"), F.desc("cum_weight"), F.asc("image_url")], page, per_page)
+    about = cut.join(F.broadcast(_of(images, cut, "image_url")), "image_url", "left")
+    titles = _of(metadata.select(F.col("url").alias("page_url"), "title"), about.select("page_url"), "page_url")
+    return about.join(F.broadcast(titles), "page_url", "left").select("image_url", "match_count", "cum_weight", F.coalesce("page_url", F.lit("")).alias("page_url"), F.coalesce("alt", F.lit("")).alias("alt"), F.coalesce("filename", F.lit("")).alias("filename"), F.coalesce("title", F.lit("")).alias("page_title"))
 
 
 def search_counts(log: DataFrame) -> DataFrame:
@@ -124,5 +130,12 @@ def frontier(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
 
 
 def daily_total(log: DataFrame) -> DataFrame:
-    """start, total: searches since the last pause of a day; a search within a day of the last goes on with its count."""
-    return log.groupBy(F.session_window("ts", "24 hours")).agg(F.count("*").alias("total")).select(F.col("session_window.start").alias("start"), "total")
+    """start, total: searches since the last pause of a day; a search within a day of the last goes on with its count.
+
+    Searches are summed by minute first; only the minutes, which do not grow with the traffic, are put in one order.
+    """
+    minutes = log.groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    w = Window.orderBy("minute")
+    begins = F.coalesce(F.col("first") - F.lag("last").over(w) >= F.expr("INTERVAL 24 HOURS"), F.lit(True))
+    marked = minutes.withColumn("begins", begins.cast("int")).withColumn("session", F.sum("begins").over(w))
+    return marked.groupBy("session").agg(F.min("first").alias("start"), F.sum("n").alias("total")).select("start", "total")

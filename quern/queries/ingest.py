@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from quern.bindings import Tables
 from quern.functions import urls as U
 from quern.operators.ranking import saved
 from quern.queries.registry import query
+from quern.session import shared_dir
 from quern.sources import seeds as D
 from quern.sources import tables as W
 from quern.streaming import jobs as J
@@ -19,14 +19,7 @@ from quern.streaming import jobs as J
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the tables that cut lineages."""
-    saved(spark.range(0), "probe")  # sets the shared folder where none is set
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{_local(spark)}"
-    return f"{root.rstrip('/')}/quern-{uuid.uuid4().hex}/{name}"
-
-
-def _local(spark: SparkSession) -> str:
-    found = spark.sparkContext.getCheckpointDir()
-    return os.path.dirname(found.removeprefix("file:")) if found else "/tmp"
+    return f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}/{name}"
 
 
 _REASON = "CASE WHEN topic = '' THEN 'missing_topic' WHEN topic IN ('Top/Adult/X', 'Top/Sports') THEN 'excluded_category' WHEN title = '' THEN 'missing_title' END"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.bindings import Tables, inlined
+from quern.session import importable
 
 QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
 
@@ -21,7 +22,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, folder, fn=fn: fn(Tables(spark, folder))) for name, (fn, _) in QUERIES.items()}
+    return {name: (lambda spark, folder, fn=fn: fn(Tables(importable(spark), folder))) for name, (fn, _) in QUERIES.items()}
 
 
 def all_sql() -> dict[str, str]:
