@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import map_batches, prepare
 
-#: The bound of the labelled sample: for each language, about SAMPLE_DOCS documents' first SAMPLE_CHARS characters.
-SAMPLE_DOCS, SAMPLE_CHARS = 160, 200
+#: The bound of the labelled sample: for each language, about SAMPLE_DOCS documents' first SAMPLE_CHARS characters; SAMPLE_ALL documents
+#: in all, where there are many languages, so that the automata of all stay below some 150 MB in a worker.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 160, 200, 1280
 #: Languages that are learned, the most frequent first.
 MAX_LANGUAGES = 64
 LANE = 512
@@ -155,15 +156,16 @@ def learn(docs: DataFrame) -> dict[str, str]:
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return {}
+    most = min(SAMPLE_DOCS, SAMPLE_ALL // len(counts))
     share = F.lit(0.0)
     for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 3 * SAMPLE_DOCS / r["count"]))).otherwise(share)
+        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 3 * most / r["count"]))).otherwise(share)
     rank = F.xxhash64("text").alias("rank")
     part = F.substring("text", 1, SAMPLE_CHARS).alias("part")
     rows = known.select("lang", rank, part, share.alias("share")).where("(rank & 16777215) < share * 16777216 and part rlike '\\\\p{L}'").select("lang", "rank", "part").collect()
     out: dict[str, list[str]] = {}
     for lang, _, text in sorted(set(rows), key=lambda r: (r[0], r[1] & 16777215, r[1], r[2])):
-        if len(got := out.setdefault(lang, [])) < SAMPLE_DOCS and text not in got:
+        if len(got := out.setdefault(lang, [])) < most and text not in got:
             got.append(text)
     return {k: " ".join(v) for k, v in out.items()}
 
@@ -200,13 +202,18 @@ class _Accept:
         self.samples, self.most = samples, most
 
     def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        rates, letters = parser(self.samples).rates(batch.column("text").to_pylist())
-        return batch.filter(pa.array(letters & ((rates.min(1) <= self.most) if rates.shape[1] else True)))
+        own = parser(self.samples)
+        rates, letters = own.rates(texts := batch.column("text").to_pylist())
+        if rates.shape[1]:
+            # a few phrases say nothing: a short text may have FREE_PHRASES more
+            free = FREE_PHRASES * own.weight.max() / np.array([max(1, len(t or "")) for t in texts])
+            letters &= rates.min(1) <= self.most + free
+        return batch.filter(pa.array(letters))
 
 
 #: Normalised phrases for each character beyond which a text is in none of the learned languages. Texts of a learned language
 #: have 1 to 5; a text of unknown letters, where each is a phrase, has the log size of an automaton, about 15.
-MOST_RATE = 6.0
+MOST_RATE, FREE_PHRASES = 8.0, 4
 
 
 def in_known_language(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:
