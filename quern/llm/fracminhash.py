@@ -63,7 +63,7 @@ def with_next(rows: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     of the range that follows. Ties of the key are in order of the columns; null keys come last.
     """
     total = rows.count()
-    wanted = max(1, min(MAX_RANGES, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_ROWS)))
+    wanted = max(1, min(MAX_RANGES, max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_ROWS)))
     cuts = sorted(set(rows.select(key).approxQuantile(key, [i / wanted for i in range(1, wanted)], 0.25 / wanted))) if wanted > 1 and total else []
     above = F.lit(0) if not cuts else F.coalesce(F.size(F.filter(F.lit([int(c) for c in cuts]).cast("array<bigint>"), lambda c: c <= F.col(key))), F.lit(0))
     rows = rows.withColumn("__range", F.when(F.col(key).isNull(), 0).otherwise(above))
