@@ -387,11 +387,11 @@ def st4(t: Tables) -> DataFrame:
     return t.spark.read.schema("term string, times bigint").parquet(out)
 
 
-@query("ST5")
+@query("ST5", "SELECT counter, min(ts) AS start, count(*) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY counter ORDER BY ts, event_id) AS s FROM (SELECT event_id, ts, user_id % 10 AS counter, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM {events})) GROUP BY counter, s HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM {events})")
 def st5(t: Tables) -> DataFrame:
     out = _folder(t.spark, "sessions")
-    J.run_once(J.sessions(_stream(t, "events").select("ts", (F.col("user_id") % 1).alias("counter"))), out, _folder(t.spark, "check"))
-    return t.spark.read.schema("counter bigint, start timestamp, total bigint").parquet(out)
+    J.run_once(J.sessions(_stream(t, "events").select("ts", (F.col("user_id") % 10).alias("counter")), "1 hour"), out, _folder(t.spark, "check"))
+    return t.spark.read.schema("counter bigint, start timestamp, total bigint").parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("ST6", "SELECT user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_type) AS old FROM {events}) WHERE event_type IS DISTINCT FROM old")

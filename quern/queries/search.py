@@ -305,7 +305,10 @@ def fz4(t: Tables) -> DataFrame:
     return S.corrected(t.misspelled, t.dictionary).select("term", "correction")
 
 
-@query("FZ5")
+_ASKED = "(SELECT pos, term, term AS word FROM (VALUES (0, 'thingg'), (1, 'of'), (2, 'ererr'), (3, 'the')) v(pos, term))"
+
+
+@query("FZ5", f"SELECT string_agg(coalesce(s.word, t.term), ' ' ORDER BY t.pos) AS query, bool_or(coalesce(s.word, t.term) <> t.term) AS changed FROM {_ASKED} t LEFT JOIN (SELECT term, word FROM {_SPELL.replace('{misspelled}', _ASKED)} QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, word) = 1) s USING (term)")
 def fz5(t: Tables) -> DataFrame:
     return S.corrected_query(t.spark, "thingg of+ererr the", t.dictionary)
 

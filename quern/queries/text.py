@@ -32,12 +32,12 @@ def ur2(t: Tables) -> DataFrame:
     return _raw(t).select("page_id", U.normalized(F.col("u")).alias("link"))
 
 
-@query("UR3")
+@query("UR3", f"SELECT page_id, CASE WHEN lower({_S}) IN ('http', 'https') THEN 'https://' || regexp_replace(lower({_A}), '^www\\.', '') || CASE WHEN {_PATH} IN ('', '/') THEN '/' ELSE regexp_replace({_PATH}, '/+$', '') END || CASE WHEN contains({_QUERY}, 'page=2') THEN '?page=2' ELSE '' END END AS link FROM {_RAW}")
 def ur3(t: Tables) -> DataFrame:
     return _raw(t).select("page_id", U.canonical(F.col("u")).alias("link"))
 
 
-@query("UR4")
+@query("UR4", "SELECT seq, CASE WHEN NOT contains(url, 'reddit.com') THEN regexp_replace(url, '[.,);\\]]+$', '') END AS link FROM {listing}")
 def ur4(t: Tables) -> DataFrame:
     return t.listing.select("seq", U.canonical_outbound(F.col("url")).alias("link"))
 
@@ -60,7 +60,11 @@ def ur7(t: Tables) -> DataFrame:
     return _raw(t).select("page_id", U.source_url(F.col("u")).alias("s")).select("page_id", "s.source_url", "s.source_url_hash")
 
 
-@query("UR8")
+_LINKS = "(SELECT DISTINCT page_id, url, regexp_extract(url, '^https?://[^/?#]+', 0) || regexp_replace(regexp_replace(h, '[?#].*$', ''), '/$', '') AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS h FROM {pages}) WHERE NOT regexp_matches(h, '[^\\x21\\x23-\\x3B\\x3D\\x3F-\\x7E]'))"
+_BARE = "regexp_replace(regexp_replace(regexp_replace({}, '^https?://(www\\.)?', ''), '[?#].*$', ''), '/$', '')"
+
+
+@query("UR8", f"SELECT page_id, link FROM {_LINKS}")
 def ur8(t: Tables) -> DataFrame:
     return I.link_targets(parse_pages(t.pages)).select("page_id", "link")
 
@@ -70,9 +74,10 @@ def ur9(t: Tables) -> DataFrame:
     return parse_pages(t.pages).select("page_id", F.size(F.array_distinct("hrefs")).cast("bigint").alias("links")).where("links > 0")
 
 
-@query("UR10")
+@query("UR10", "SELECT page_id, '/i/' || (page_id % 7) || '.png' AS src, 'b' || page_id AS alt FROM {pages}")
 def ur10(t: Tables) -> DataFrame:
-    return I.image_table(parse_pages(t.pages))
+    image = lambda alt: F.concat(F.lit('<img src="/i/'), F.col("page_id") % 7, F.lit(f'.png" alt="{alt}'), "page_id", F.lit('">'))
+    return I.image_table(parse_pages(t.pages.withColumn("html", F.concat("html", image("a"), F.lit('<img alt="none">'), image("b")))))
 
 
 @query("UR11", "SELECT seq, CASE WHEN url LIKE 'https://www.reddit.com%' OR url LIKE 'https://old.reddit.com%' THEN 'https://old.reddit.com' || regexp_replace(substr(url, 23), '/+$', '') || '/.json' END AS link FROM {listing}")
@@ -93,7 +98,7 @@ def ur13(t: Tables) -> DataFrame:
     return seed_rows(rows).select(F.col("listing.permalink").cast("bigint").alias("seq"))
 
 
-@query("UR14")
+@query("UR14", f"SELECT DISTINCT {_BARE.format('url')} AS src, {_BARE.format('link')} AS dst FROM {_LINKS} WHERE NOT contains(link, '%') AND {_BARE.format('url')} <> {_BARE.format('link')}")
 def ur14(t: Tables) -> DataFrame:
     return I.page_edges(I.link_targets(parse_pages(t.pages)))
 
@@ -109,30 +114,35 @@ def flt12(t: Tables) -> DataFrame:
 
 
 def _fields(t: Tables) -> DataFrame:
-    return parse_pages(t.pages)
+    """Parsed pages; every other page says more about itself in its head."""
+    tag = lambda kind, name, content: F.concat(F.lit(f'<meta {kind}="{name}" content="'), content, F.lit('">'))
+    plain = tag("name", "title", F.concat(F.lit("n"), F.col("page_id")))
+    more = F.concat(tag("property", "og:title", F.lit("first")), tag("property", "og:title", F.concat(F.lit("T"), F.col("page_id"))), tag("name", "description", F.concat(F.lit("D"), F.col("page_id") % 5)), tag("property", "og:url", F.concat(F.lit("u"), F.col("page_id"))))
+    head = F.when(F.col("page_id") % 2 == 0, F.concat(plain, more)).otherwise(plain)
+    return parse_pages(t.pages.withColumn("html", F.replace(F.col("html"), F.lit("</head>"), F.concat(head, F.lit("</head>")))))
 
 
-@query("TX1")
+@query("TX1", "SELECT page_id, len(regexp_extract_all(html, '<p[> ]')) AS paragraphs, CASE WHEN page_id % 2 = 0 THEN 4 ELSE 1 END::BIGINT AS metas, replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&') AS title_tag FROM {pages}")
 def tx1(t: Tables) -> DataFrame:
-    return _fields(t).select("page_id", F.size("paragraphs").alias("paragraphs"), F.size("meta").alias("metas"), "title_tag")
+    return _fields(t).select("page_id", F.size("paragraphs").cast("bigint").alias("paragraphs"), F.size("meta").cast("bigint").alias("metas"), "title_tag")
 
 
-@query("TX2")
+@query("TX2", "SELECT page_id, 'title' AS name, 'n' || page_id AS content FROM {pages} UNION ALL SELECT page_id, unnest(['og:title', 'description', 'og:url']), unnest(['T' || page_id, 'D' || (page_id % 5), 'u' || page_id]) FROM {pages} WHERE page_id % 2 = 0")
 def tx2(t: Tables) -> DataFrame:
     return _fields(t).select("page_id", F.explode("meta").alias("name", "content"))
 
 
-@query("TX3")
+@query("TX3", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'T' ELSE 'n' END || page_id AS title FROM {pages}")
 def tx3(t: Tables) -> DataFrame:
     return I.page_fields(_fields(t)).select("page_id", "title")
 
 
-@query("TX4")
+@query("TX4", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'D' || (page_id % 5) END AS description FROM {pages}")
 def tx4(t: Tables) -> DataFrame:
     return I.page_fields(_fields(t)).select("page_id", "description")
 
 
-@query("TX5")
+@query("TX5", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'u' || page_id END AS canonical FROM {pages}")
 def tx5(t: Tables) -> DataFrame:
     return _fields(t).select("page_id", F.coalesce(F.col("meta")["og:url"], F.col("meta")["url"]).alias("canonical"))
 
@@ -235,7 +245,7 @@ def tx24(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("TX25")
+@query("TX25", "SELECT page_id, url_encode(url) AS path FROM {pages}")
 def tx25(t: Tables) -> DataFrame:
     return t.pages.select("page_id", U.percent_decoded(F.url_encode("url")).alias("path"))
 
