@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import shared_dir
+from quern.session import new_folder
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a table in the folder that the cluster shares (spark.checkpoint.dir), so that lost executors cost no round."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}/{name}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

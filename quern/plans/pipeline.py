@@ -25,3 +25,12 @@ def build(pages: DataFrame, lang: DataFrame | None = None) -> dict[str, DataFram
     nodes = edges.select(F.col("src").alias("node")).distinct()
     metadata = fields.join(words.select("url").distinct(), "url", "left_semi").select("url", "title", "description", "summary_text")
     return {"words": tf_idf(words, metadata), "metadata": metadata, "outlinks": edges.groupBy("src").agg(F.collect_set("dst").alias("links")), "backlinks": edges.groupBy("dst").agg(F.collect_set("src").alias("links")), "pagerank": page_rank(edges, nodes)}
+
+
+def publish(words: DataFrame, folder: str, files: int | None = None) -> None:
+    """Writes postings in ranges of words, sorted within files: a search's terms then skip all files and row groups that cannot have them.
+
+    A word on very many pages spans several files, as the range is cut by word and page.
+    """
+    n = files or int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words.repartitionByRange(n, "word", "url").sortWithinPartitions("word", "url").write.mode("overwrite").parquet(folder)

@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.bindings import Tables
 from quern.functions import urls as U
 from quern.operators.ranking import saved
 from quern.queries.registry import query
-from quern.session import shared_dir
+from quern.session import new_folder
 from quern.sources import seeds as D
 from quern.sources import tables as W
 from quern.streaming import jobs as J
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the tables that cut lineages."""
-    return f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}/{name}"
-
-
 _REASON = "CASE WHEN topic = '' THEN 'missing_topic' WHEN topic IN ('Top/Adult/X', 'Top/Sports') THEN 'excluded_category' WHEN title = '' THEN 'missing_title' END"
 
 
@@ -33,7 +26,7 @@ def src1(t: Tables) -> DataFrame:
 
 @query("SRC2", "SELECT url, title, topic FROM {seeds}")
 def src2(t: Tables) -> DataFrame:
-    path = _folder(t.spark, "dump")
+    path = new_folder(t.spark, "dump")
     amp = lambda c: F.replace(F.col(c), F.lit("&"), F.lit("&amp;"))
     record = F.concat(F.lit('<ExternalPage about="'), amp("url"), F.lit('">\n  <d:Title>'), amp("title"), F.lit("</d:Title>\n  <d:Description>x & y</d:Description>\n  <topic>"), amp("topic"), F.lit("</topic>\n</ExternalPage>"))
     t.seeds.select(record).write.text(path)
@@ -42,7 +35,7 @@ def src2(t: Tables) -> DataFrame:
 
 @query("SRC3", "SELECT url, coalesce(category, 'General') AS category, coalesce(priority, 1)::INT AS priority, source FROM {seeds}")
 def src3(t: Tables) -> DataFrame:
-    path = _folder(t.spark, "csv")
+    path = new_folder(t.spark, "csv")
     t.seeds.select("url", "category", "priority", "source", F.lit("").alias("notes")).write.option("header", True).csv(path)
     return D.read_seed_csv(t.spark, path)
 
@@ -54,7 +47,7 @@ def src4(t: Tables) -> DataFrame:
 
 @query("SRC5", "SELECT event_id, event_type FROM {events} WHERE event_id % 10 = 0")
 def src5(t: Tables) -> DataFrame:
-    path = _folder(t.spark, "json")
+    path = new_folder(t.spark, "json")
     t.events.where("event_id % 10 = 0").select("event_id", "event_type").write.json(path)
     return t.spark.read.schema("event_id bigint, event_type string").json(path)
 
@@ -189,14 +182,14 @@ def snk3(t: Tables) -> DataFrame:
 
 @query("SNK4", "SELECT count(*) AS n FROM {events}")
 def snk4(t: Tables) -> DataFrame:
-    path = _folder(t.spark, "bulk")
+    path = new_folder(t.spark, "bulk")
     W.write_table(t.events.select("event_id", "event_type"), path, ["event_type"])
     return t.spark.read.parquet(path).agg(F.count("*").alias("n"))
 
 
 @query("SNK5", "SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type")
 def snk5(t: Tables) -> DataFrame:
-    path = _folder(t.spark, "flushed")
+    path = new_folder(t.spark, "flushed")
     W.write_table(t.events.select("event_id", "event_type"), path, ["event_type"])
     return t.spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"))
 
@@ -235,7 +228,7 @@ def snk11(t: Tables) -> DataFrame:
 
 @query("SNK12", "SELECT src AS node, count(*) AS rank FROM {edges} GROUP BY src")
 def snk12(t: Tables) -> DataFrame:
-    path = _folder(t.spark, "pagerank")
+    path = new_folder(t.spark, "pagerank")
     W.write_table(t.edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("rank")), path)
     return t.spark.read.parquet(path)
 
@@ -358,7 +351,7 @@ def _stream(t: Tables, name: str) -> DataFrame:
 
 @query("ST1", "SELECT url, word, tf FROM {words}")
 def st1(t: Tables) -> DataFrame:
-    out, check = _folder(t.spark, "index"), _folder(t.spark, "check")
+    out, check = new_folder(t.spark, "index"), new_folder(t.spark, "check")
     docs = _stream(t, "documents").where("lang = 'en'").select(F.concat(F.lit("doc/"), "doc_id").alias("url"), "text")
     J.index_stream(docs, out, check)
     return t.spark.read.parquet(out).select("url", "word", "tf")
@@ -366,52 +359,52 @@ def st1(t: Tables) -> DataFrame:
 
 @query("ST2", "SELECT count(*) AS n FROM {events}")
 def st2(t: Tables) -> DataFrame:
-    out = _folder(t.spark, "limited")
-    J.run_once(_stream(t, "events").select("event_id"), out, _folder(t.spark, "check"))
+    out = new_folder(t.spark, "limited")
+    J.run_once(_stream(t, "events").select("event_id"), out, new_folder(t.spark, "check"))
     return t.spark.read.schema("event_id bigint").parquet(out).agg(F.count("*").alias("n"))
 
 
 @query("ST3", "SELECT dst, array_to_string(list_sort(list(DISTINCT src)), ',') AS links FROM (SELECT l_orderkey AS src, l_partkey AS dst FROM {lineitem} WHERE l_partkey % 10 = 0) GROUP BY dst")
 def st3(t: Tables) -> DataFrame:
-    out = _folder(t.spark, "backlinks")
+    out = new_folder(t.spark, "backlinks")
     edges = _stream(t, "lineitem").where("l_partkey % 10 = 0").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
-    J.each_batch(J.backlink_sets(edges), lambda b, _: b.write.mode("overwrite").parquet(out), _folder(t.spark, "check"), "complete")
+    J.each_batch(J.backlink_sets(edges), lambda b, _: b.write.mode("overwrite").parquet(out), new_folder(t.spark, "check"), "complete")
     return t.spark.read.schema("dst bigint, links array<bigint>").parquet(out).select("dst", F.array_join(F.col("links").cast("array<string>"), ",").alias("links"))
 
 
 @query("ST4", "SELECT event_type AS term, count(*) AS times FROM {events} GROUP BY 1")
 def st4(t: Tables) -> DataFrame:
-    out = _folder(t.spark, "counts")
+    out = new_folder(t.spark, "counts")
     counts = J.search_counts(_stream(t, "events").select(F.concat(F.lit(" "), F.upper("event_type")).alias("q")))
-    J.each_batch(counts, lambda b, _: b.orderBy(F.desc("times"), "term").limit(100).write.mode("overwrite").parquet(out), _folder(t.spark, "check"), "complete")
+    J.each_batch(counts, lambda b, _: b.orderBy(F.desc("times"), "term").limit(100).write.mode("overwrite").parquet(out), new_folder(t.spark, "check"), "complete")
     return t.spark.read.schema("term string, times bigint").parquet(out)
 
 
 @query("ST5", "SELECT counter, min(ts) AS start, count(*) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY counter ORDER BY ts, event_id) AS s FROM (SELECT event_id, ts, user_id % 10 AS counter, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM {events})) GROUP BY counter, s HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM {events})")
 def st5(t: Tables) -> DataFrame:
-    out = _folder(t.spark, "sessions")
-    J.run_once(J.sessions(_stream(t, "events").select("ts", (F.col("user_id") % 10).alias("counter")), "1 hour"), out, _folder(t.spark, "check"))
+    out = new_folder(t.spark, "sessions")
+    J.run_once(J.sessions(_stream(t, "events").select("ts", (F.col("user_id") % 10).alias("counter")), "1 hour"), out, new_folder(t.spark, "check"))
     return t.spark.read.schema("counter bigint, start timestamp, total bigint").parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("ST6", "SELECT user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_type) AS old FROM {events}) WHERE event_type IS DISTINCT FROM old")
 def st6(t: Tables) -> DataFrame:
-    out = _folder(t.spark, "changed")
-    J.run_once(J.changed_pages(_stream(t, "events").select("user_id", "event_type"), "user_id", "event_type"), out, _folder(t.spark, "check"))
+    out = new_folder(t.spark, "changed")
+    J.run_once(J.changed_pages(_stream(t, "events").select("user_id", "event_type"), "user_id", "event_type"), out, new_folder(t.spark, "check"))
     return t.spark.read.schema("user_id bigint, event_type string").parquet(out)
 
 
 @query("ST7", "SELECT page_id FROM {pages}")
 def st7(t: Tables) -> DataFrame:
-    out = _folder(t.spark, "once")
-    J.run_once(_stream(t, "pages").select("page_id"), out, _folder(t.spark, "check"))
+    out = new_folder(t.spark, "once")
+    J.run_once(_stream(t, "pages").select("page_id"), out, new_folder(t.spark, "check"))
     return t.spark.read.schema("page_id bigint").parquet(out)
 
 
 @query("ST8_stream", "SELECT count(*) AS entries FROM {events} WHERE event_type = 'error'")
 def st8_stream(t: Tables) -> DataFrame:
-    out = _folder(t.spark, "log")
-    J.run_once(J.job_log(_stream(t, "events").where("event_type = 'error'").select("event_id", "user_id")), out, _folder(t.spark, "check"))
+    out = new_folder(t.spark, "log")
+    J.run_once(J.job_log(_stream(t, "events").where("event_type = 'error'").select("event_id", "user_id")), out, new_folder(t.spark, "check"))
     return t.spark.read.schema("entry string").parquet(out).agg(F.count("*").alias("entries"))
 
 

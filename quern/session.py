@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_own: dict[str, str] = {}
 
 
 def importable(spark: SparkSession) -> SparkSession:
@@ -26,3 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     sc.setCheckpointDir(made := tempfile.mkdtemp(prefix="quern-shared-"))
     return f"file://{made}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the application's own part of the shared folder, which goes when the driver's JVM ends."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _own:
+        made = sc._jvm.org.apache.hadoop.fs.Path(path := f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}")
+        store = made.getFileSystem(sc._jsc.hadoopConfiguration())
+        store.mkdirs(made)
+        store.deleteOnExit(made)
+        _own.clear()
+        _own[sc.applicationId] = path
+    return f"{_own[sc.applicationId]}/{uuid.uuid4().hex[:12]}-{name}"

@@ -132,3 +132,22 @@ def test_plan_of_search_reaches_the_scan(spark, data):
 
     plan = Tables(spark, data).documents.where("lang = 'en'").select("doc_id")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan and "text:string" not in plan.split("Physical Plan")[1]
+
+
+def test_published_postings_are_pruned_by_word(spark, data, tmp_path):
+    from quern.bindings import Tables
+    from quern.plans.pipeline import publish
+
+    t = Tables(spark, data)
+    publish(t.words, str(tmp_path / "words"), 4)
+    stored = spark.read.parquet(str(tmp_path / "words"))
+    assert stored.count() == t.words.count()
+    found = S.matches(stored, "thth+ond")
+    assert "PushedFilters: [In(word, [ond,thth])]" in found._jdf.queryExecution().toString()
+
+
+def test_folders_of_a_session(spark):
+    from quern.session import new_folder
+
+    a, b = new_folder(spark, "x"), new_folder(spark, "x")
+    assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
