@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from quern.session import importable, shared_dir
+from quern.session import importable, new_folder
 
 #: Rows in one Arrow batch: with the longest texts a batch stays at some tens of MB.
 BATCH_ROWS = 1000
@@ -27,7 +26,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as a table in the shared folder and reads it again. It survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}/{name}"
+    path = new_folder(spark, name)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")  # the table is whole when the job ends; its shuffle files are not needed again
     try:
