@@ -43,27 +43,32 @@ def pager_end(total: Column) -> Column:
     return F.greatest(F.least(F.ceil(total / PER_PAGE), F.lit(10)), F.lit(2)).cast("bigint")
 
 
-def _of(table: DataFrame, cut: DataFrame, key: str) -> DataFrame:
-    """The rows of a table for one page of results: the page's keys are broadcast, so the table is scanned without a shuffle. key is unique in the table."""
-    return table.join(F.broadcast(cut.select(key)), key, "left_semi")
+def _page(hits: DataFrame, key: str, page: int, per_page: int) -> tuple[DataFrame, list[str]]:
+    """One page of hits as a small table, and its keys; at most per_page rows come to the driver."""
+    cut = paged(hits, [F.desc("match_count"), F.desc("cum_weight"), F.asc(key)], page, min(per_page, 100)).select(key, "cum_weight", "match_count")
+    rows = cut.collect()
+    return hits.sparkSession.createDataFrame(rows, cut.schema), [r[key] for r in rows]
+
+
+def _of(table: DataFrame, key: str, keys: list[str]) -> DataFrame:
+    """The rows of a table for a few keys: a filter that reaches the scan. The result is broadcast; keys are unique in the table."""
+    return F.broadcast(table.where(F.col(key).isin(keys) if keys else F.lit(False)))
 
 
 def search(weights: DataFrame, metadata: DataFrame, rank: DataFrame, q: str, page: int = 1, per_page: int = PER_PAGE) -> DataFrame:
     """One page of results. The page is cut by matches and weight; the rank only orders the rows within it."""
-    hits = relevance(matches(weights, q))
-    cut = paged(hits, [F.desc("match_count"), F.desc("cum_weight"), F.asc("url")], page, per_page)
-    about, ranks = _of(metadata, cut, "url"), _of(rank.select(F.col("node").alias("url"), "rank"), cut, "url")
-    out = cut.join(F.broadcast(about), "url", "left").join(F.broadcast(ranks), "url", "left")
+    cut, urls = _page(relevance(matches(weights, q)), "url", page, per_page)
+    out = cut.join(_of(metadata, "url", urls), "url", "left").join(_of(rank.select(F.col("node").alias("url"), "rank"), "url", urls), "url", "left")
     score = blended(F.col("cum_weight"), F.col("rank"))
     return out.select("url", "match_count", "cum_weight", F.coalesce("rank", F.lit(0.0)).alias("rank"), score.alias("combined"), F.coalesce("title", F.lit("")).alias("title"), T.snippet(F.coalesce("description", "summary_text", F.lit("")), 200).alias("snippet"))
 
 
 def image_search(word_images: DataFrame, images: DataFrame, metadata: DataFrame, q: str, page: int = 1, per_page: int = PER_PAGE) -> DataFrame:
     """One page of images by matches and weight, with their pages' titles."""
-    cut = paged(relevance(matches(word_images, q), "image_url"), [F.desc("match_count"), F.desc("cum_weight"), F.asc("image_url")], page, per_page)
-    about = cut.join(F.broadcast(_of(images, cut, "image_url")), "image_url", "left")
-    titles = _of(metadata.select(F.col("url").alias("page_url"), "title"), about.select("page_url"), "page_url")
-    return about.join(F.broadcast(titles), "page_url", "left").select("image_url", "match_count", "cum_weight", F.coalesce("page_url", F.lit("")).alias("page_url"), F.coalesce("alt", F.lit("")).alias("alt"), F.coalesce("filename", F.lit("")).alias("filename"), F.coalesce("title", F.lit("")).alias("page_title"))
+    cut, urls = _page(relevance(matches(word_images, q), "image_url"), "image_url", page, per_page)
+    about = cut.join(_of(images, "image_url", urls), "image_url", "left")
+    titles = F.broadcast(metadata.select(F.col("url").alias("page_url"), "title").join(F.broadcast(_of(images, "image_url", urls).select("page_url").distinct()), "page_url", "left_semi"))  # the page's rows
+    return about.join(titles, "page_url", "left").select("image_url", "match_count", "cum_weight", F.coalesce("page_url", F.lit("")).alias("page_url"), F.coalesce("alt", F.lit("")).alias("alt"), F.coalesce("filename", F.lit("")).alias("filename"), F.coalesce("title", F.lit("")).alias("page_title"))
 
 
 def search_counts(log: DataFrame) -> DataFrame:
