@@ -143,7 +143,7 @@ def _mixed(*parts: np.ndarray) -> np.ndarray:
 
 
 class _Edges:
-    """GRAPH rows to x, w, fresh, back, least, draw: x's vector shall come to w; least is what x's next neighbour must exceed.
+    """GRAPH rows to x, w, fresh, back, draw: x's vector shall come to w, as its neighbour or because w is x's (back).
 
     marked: instead, the rows with the sampled new neighbours marked as old.
     """
@@ -153,7 +153,6 @@ class _Edges:
 
     def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch | None:
         v, n = _lists(batch.column("ids"), np.int64)
-        s, _ = _lists(batch.column("sims"), np.float32)
         f, _ = _lists(batch.column("fresh"), bool)
         row = np.repeat(np.arange(batch.num_rows), n)
         nodes = batch.column("u").to_numpy()
@@ -164,7 +163,7 @@ class _Edges:
         taken = np.zeros(len(v), bool)
         taken[o] = np.arange(len(o)) - np.repeat(start, np.diff(np.r_[start, len(o)])) < SAMPLE
         if self.marked:
-            return _graph_batch(nodes[row], v, s, f & ~taken) if (nodes[1:] > nodes[:-1]).all() else pa.RecordBatch.from_arrays([batch.column("u"), batch.column("ids"), batch.column("sims"), _list_column(f & ~taken, n, pa.bool_())], ["u", "ids", "sims", "fresh"])
+            return pa.RecordBatch.from_arrays([batch.column("u"), batch.column("ids"), batch.column("sims"), _list_column(f & ~taken, n, pa.bool_())], ["u", "ids", "sims", "fresh"])
         u = nodes[row][taken]
         draw = draw[taken].astype(np.int64)
         two = lambda a, b: pa.array(np.concatenate([a, b]))
