@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -59,3 +60,12 @@ class _Each:
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A column's strings; null is empty."""
     return [x or "" for x in batch.column(name).to_pylist()]
+
+
+def apart(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[bool]:
+    """Whether each span (start, end) overlaps none of the taken ones."""
+    starts, reach = [], []
+    for a, b in sorted(taken):
+        starts.append(a)
+        reach.append(max(b, reach[-1]) if reach else b)
+    return [(i := bisect_left(starts, b)) == 0 or reach[i - 1] <= a for a, b in spans]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_batches, prepare, texts
+from quern.llm.common import apart, map_batches, prepare, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: Contract of the base spans (fixed patterns). An address is found from its '@'; a run of digits is entered at its first one only.
@@ -148,7 +148,7 @@ class SemiField:
 
     def __init__(self, index: dict[str, int], weights: np.ndarray) -> None:
         self.index, self.weights = index, weights
-        self.spans_of = lru_cache(50_000)(self._spans)
+        self.spans_of = lru_cache(20_000)(self._spans)
 
     def __reduce__(self):
         return SemiField, (self.index, self.weights)
@@ -179,7 +179,7 @@ class SemiField:
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(kind's number, start, end) of the best segmentation."""
-        return [(k, start + a, start + b) for start, s, before in stretches(text) for k, a, b in (self.spans_of(s, cue_kinds(before)) if len(s) < 4000 else self._spans(s, cue_kinds(before)))]
+        return [(k, start + a, start + b) for start, s, before in stretches(text) for k, a, b in (self.spans_of(s, cue_kinds(before)) if len(s) < 200 else self._spans(s, cue_kinds(before)))]
 
 
 def generated_text(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
@@ -280,7 +280,8 @@ def trained() -> SemiField:
 def scan(text: str, field: SemiField) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans; and all spans with the field's, as far as they do not overlap base ones. By kind, then start."""
     base = base_spans(text)
-    extra = [(k, a, b) for k, a, b in field.spans(text) if not any(a < d and c < b for _, c, d in base)]
+    found = field.spans(text)
+    extra = [s for s, ok in zip(found, apart([s[1:] for s in found], [s[1:] for s in base]), strict=True) if ok]
     return base, sorted([*base, *extra])
 
 

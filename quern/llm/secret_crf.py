@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_batches, prepare, texts
+from quern.llm.common import apart, map_batches, prepare, texts
 
 #: Contract of the base spans (fixed patterns).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -259,7 +259,8 @@ def trained() -> Field:
 def scan(text: str, field: Field) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """Base spans; and all spans with the field's, as far as they do not overlap base ones."""
     base = base_spans(text)
-    extra = [(a, "crf", b) for a, b in field.spans(text) if not any(a < d and c < b for c, _, d in base)]
+    found = field.spans(text)
+    extra = [(a, "crf", b) for (a, b), ok in zip(found, apart(found, [(a, b) for a, _, b in base]), strict=True) if ok]
     order = (*KINDS, "crf")
     return base, sorted([*base, *extra], key=lambda s: (s[0], order.index(s[1])))
 

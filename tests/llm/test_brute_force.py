@@ -218,6 +218,24 @@ def test_base_pii_of_odd_texts(text):
     assert sorted(P.base_spans(text)) == _naive_pii(text)
 
 
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6))), st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6))))
+def test_apart(a, b):
+    from quern.llm.common import apart
+
+    spans, taken = [(x, x + n) for x, n in a], [(x, x + n) for x, n in b]
+    assert apart(spans, taken) == [not any(x < d and c < y for c, d in taken) for x, y in spans]
+
+
+def test_scans_of_long_texts_take_linear_time():
+    import time
+
+    began = time.time()
+    text = " ".join(["+1 (344) 555-6408", "a.b@c.org", "10.0.0.1", "password=abcdef1"] * 5000) + "1" * 50_000 + "a" * 200_000 + "@" + " " * 100_000
+    base, every = P.scan(text, P.trained())
+    assert len(base) >= 15_000 and len(S.scan(text, S.trained())[0]) >= 5000
+    assert time.time() - began < 60
+
+
 def test_secret_field_on_held_out_files():
     r, field, hit, found, real = random.Random(123), S.trained(), 0, 0, 0
     for _ in range(300):
