@@ -117,6 +117,24 @@ def test_blocks_of_a_family_find_all_links():
     assert groups([(i, j) for i, j, _ in J.block_links(sets, sides)] + inner) == every
 
 
+def test_components_of_paths_stars_and_random_graphs(spark):
+    from quern.llm.graph import connected_components
+
+    r = random.Random(8)
+    order = r.sample(range(300), 300)
+    edges = list(zip(order, order[1:])) + [(1000, 1000 + i) for i in range(1, 200)] + [(r.randrange(2000, 2300), r.randrange(2000, 2300)) for _ in range(200)] + [(7, 7), (5000, 5000), (None, 3), (-5, 4000)]
+    label = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in range(400):
+        old = dict(label)
+        for a, b in edges:
+            if a != b and None not in (a, b):
+                label[a] = label[b] = min(label[a], label[b])
+        if old == label:
+            break
+    got = connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()
+    assert {x["node"]: x["component"] for x in got} == label and len(got) == len(label)
+
+
 def test_packing_round_trip(spark, data, docs):
     from tokenizers import Tokenizer
 
@@ -218,6 +236,7 @@ def test_base_pii_of_odd_texts(text):
     assert sorted(P.base_spans(text)) == _naive_pii(text)
 
 
+@settings(deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6))), st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6))))
 def test_apart(a, b):
     from quern.llm.common import apart
