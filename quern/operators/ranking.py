@@ -18,8 +18,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def idf(words: DataFrame, metadata: DataFrame) -> DataFrame:
     """word, df, idf = log10(N / (1 + df)); N counts metadata. Negative for words that nearly all pages have."""
-    total = metadata.agg(F.count("*").alias("n"))  # one row
-    return words.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("word", "df", F.log10(F.col("n") / (1 + F.col("df"))).alias("idf"))
+    total = metadata.agg(F.count("*")).scalar()
+    return words.groupBy("word").agg(F.count("*").alias("df")).select("word", "df", F.log10(total / (1 + F.col("df"))).alias("idf"))
 
 
 def tf_idf(words: DataFrame, metadata: DataFrame) -> DataFrame:

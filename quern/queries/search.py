@@ -474,7 +474,7 @@ def ap4(t: Tables) -> DataFrame:
 
 @query("AP5", "SELECT (SELECT count(*) FROM {metadata}) AS pages, (SELECT count(*) FROM {dictionary}) AS words")
 def ap5(t: Tables) -> DataFrame:
-    return t.metadata.agg(F.count("*").alias("pages")).crossJoin(F.broadcast(t.dictionary.agg(F.count("*").alias("words"))))  # one row each
+    return t.metadata.agg(F.count("*").alias("pages")).withColumn("words", t.dictionary.agg(F.count("*")).scalar())
 
 
 @query("AP6", f"SELECT * FROM {_COUNTS} WHERE term LIKE 'p%' ORDER BY times DESC, term LIMIT 10")
@@ -485,8 +485,8 @@ def ap6(t: Tables) -> DataFrame:
 @query("AP7")
 def ap7(t: Tables) -> DataFrame:
     top = S.top_searches(S.search_counts(t.searches), 1)
-    total = t.searches.agg(F.count("*").alias("total"))
-    return top.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(t.metadata.select("url").orderBy(F.rand(3)).limit(1)))  # one row each
+    page = t.metadata.select("url").orderBy(F.rand(3)).limit(1)
+    return top.withColumn("total", t.searches.agg(F.count("*")).scalar()).withColumn("url", page.scalar())
 
 
 @query("AP8", _rank_sql() + " SELECT node FROM r10 ORDER BY round(rank, 10) DESC, node LIMIT 1")
