@@ -83,7 +83,7 @@ def neighbour_pairs(turns: DataFrame) -> DataFrame:
     at = last_assistant(F.col("turns"))
     conv = conversations_as_arrays(turns).withColumn("reply", F.when(at >= 0, F.get("turns", F.greatest(at, F.lit(0)))["text"]))
     reply = conv.where("conv_id is not null").select((F.col("conv_id") - 1).alias("before"), F.col("reply").alias("next_reply"), F.lit(True).alias("has_next"))
-    first = conv.where("conv_id is not null").agg(F.min_by("reply", "conv_id").alias("first_reply"))  # one row
-    rows = conv.join(reply, conv["conv_id"] == reply["before"], "left").crossJoin(F.broadcast(first))
+    first = conv.where("conv_id is not null").agg(F.min_by("reply", "conv_id")).scalar()
+    rows = conv.join(reply, conv["conv_id"] == reply["before"], "left").withColumn("first_reply", first)
     other = F.when(F.col("has_next"), F.col("next_reply")).otherwise(F.col("first_reply"))
     return rows.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), with_last_reply(F.col("turns"), other).alias("rejected"))

@@ -49,12 +49,12 @@ def shared(children: DataFrame, parent: list[str], child: str) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, int]], max_epochs: int) -> DataFrame:
     """leaves (LEVELS, tokens) with target: the tokens that each leaf gives. One row for each leaf; no text."""
     tree = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
-    total = tree.agg(budget.cast("double").alias("budget"))
+    total = tree.agg(budget.cast("double").alias("budget")).scalar()
     at: list[str] = []
     above = None
     for level in LEVELS:
         nodes = tree.groupBy(*at, level).agg(F.sum("capacity").alias("capacity")).withColumn("weight", weight_of(level, weights)).where("weight > 0")
-        nodes = nodes.crossJoin(F.broadcast(total)) if above is None else nodes.join(above, at)  # total is one row
+        nodes = nodes.withColumn("budget", total) if above is None else nodes.join(above, at)
         above = shared(nodes, at, level).select(*at, level, F.col("given").alias("budget"))
         at.append(level)
     return leaves.join(above, list(LEVELS)).withColumn("target", F.floor("budget").cast("bigint")).select(*LEVELS, "tokens", "target")
