@@ -10,6 +10,7 @@ Method
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 
@@ -21,13 +22,12 @@ from pyspark.sql import functions as F
 from quern.llm.common import map_batches, prepare
 
 #: The bound of the labelled sample: for each language, about SAMPLE_DOCS documents' first SAMPLE_CHARS characters; SAMPLE_ALL documents
-#: in all, where there are many languages, so that the automata of all stay below some 150 MB in a worker.
+#: in all, where there are many languages, so that the automata of all stay below some 150 MB in a worker. Every language has one at
+#: least; of more than SAMPLE_ALL languages, each has a shorter one.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 160, 200, 1280
-#: Languages that are learned, the most frequent first.
-MAX_LANGUAGES = 64
 LANE = 512
-LETTERS = 61
-SPACE, OTHER, PAD, CLASSES = 0, LETTERS + 1, LETTERS + 2, LETTERS + 3
+#: The automaton of a sample of more symbols than this has its transitions by key instead of in a table.
+DENSE = 64
 _FLAG = 1 << 30
 _models: dict = {}
 _letters: list[np.ndarray] = []
@@ -50,35 +50,83 @@ def folded(text: str) -> np.ndarray:
     return x[(x != 0) | np.r_[True, x[:-1] != 0]] if len(x) else x
 
 
-def suffix_automaton(codes: np.ndarray, classes: int) -> np.ndarray:
-    """Transitions [states, classes] of the suffix automaton of a sequence; 0 is the root, and no transition is -1."""
-    none = array("i", [-1]) * classes
-    to, link, longest = array("i", none), [-1], [0]
+def suffix_automaton(codes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix automaton of a sequence: its number of states, and from, symbol and to of all transitions; 0 is the root."""
+    to: list[dict[int, int]] = [{}]
+    link, longest = array("i", [-1]), array("i", [0])
     last = 0
     for c in codes.tolist():
         cur = len(longest)
-        to.extend(none)
+        to.append({})
         longest.append(longest[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and to[p * classes + c] < 0:
-            to[p * classes + c] = cur
+        while p >= 0 and c not in to[p]:
+            to[p][c] = cur
             p = link[p]
         if p >= 0:
-            q = to[p * classes + c]
+            q = to[p][c]
             if longest[q] == longest[p] + 1:
                 link[cur] = q
             else:
                 copy = len(longest)
-                to.extend(to[q * classes : (q + 1) * classes])
+                to.append(dict(to[q]))
                 longest.append(longest[p] + 1)
                 link.append(link[q])
-                while p >= 0 and to[p * classes + c] == q:
-                    to[p * classes + c] = copy
+                while p >= 0 and to[p].get(c) == q:
+                    to[p][c] = copy
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    return np.frombuffer(to, np.int32).reshape(-1, classes)
+    sizes = np.fromiter(map(len, to), np.int64, len(to))
+    n = int(sizes.sum())
+    return len(to), np.repeat(np.arange(len(to)), sizes), np.fromiter((c for t in to for c in t), np.int64, n), np.fromiter((q for t in to for q in t.values()), np.int64, n)
+
+
+class _Automaton:
+    """One language's automaton. Each symbol of its sample has a class; the others share the last one, which no transition has."""
+
+    def __init__(self, codes: np.ndarray, symbols: int) -> None:
+        own = np.unique(codes)
+        self.classes = np.full(symbols, len(own), np.int32)
+        self.classes[own] = np.arange(len(own))
+        self.width = len(own) + 1
+        n, at, c, to = suffix_automaton(self.classes[codes])
+        self.start = np.zeros(self.width, np.int32)  # after a phrase's end its last character begins the next
+        self.start[c[at == 0]] = to[at == 0]
+        self.dense = self.width <= DENSE
+        if self.dense:
+            full = np.tile((self.start * self.width) | _FLAG, (n, 1))
+            full[at, c] = to * self.width
+            self.table = full.astype(np.int32).ravel()
+        else:
+            keys = at * self.width + c
+            order = np.argsort(keys)
+            self.keys, self.to = keys[order], to[order].astype(np.int32)
+
+    def phrases(self, steps: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """The phrases of each column of symbols, of which the first alive[t] go on at step t."""
+        state = np.zeros(steps.shape[1], np.int32)
+        phrases = np.ones(steps.shape[1], np.int32)
+        steps = self.classes.take(steps)
+        for t in range(len(steps)):
+            if not (m := alive[t]):
+                break
+            if self.dense:
+                got = self.table.take(state[:m] + steps[t, :m])
+                phrases[:m] += got >> 30
+                np.bitwise_and(got, _FLAG - 1, out=state[:m])
+            else:
+                c = steps[t, :m]
+                known = np.flatnonzero(c < self.width - 1)  # a symbol that the sample lacks ends a phrase anyway
+                key = state[known].astype(np.int64) * self.width + c[known]
+                k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[k] == key
+                phrases[:m] += 1
+                phrases[known[hit]] -= 1
+                state[:m] = self.start[c]
+                state[known[hit]] = self.to[k[hit]]
+        return phrases
 
 
 class CrossParser:
@@ -87,24 +135,13 @@ class CrossParser:
     def __init__(self, samples: dict[str, str]) -> None:
         self.names = sorted(samples)
         text = {k: folded(samples[k]) for k in self.names}
-        seen, times = np.unique(np.concatenate(list(text.values())), return_counts=True) if text else (np.zeros(0, np.uint32), np.zeros(0, int))
-        seen, times = seen[seen != 0], times[seen != 0]
-        kept = np.sort(seen[np.lexsort((seen, -times))][:LETTERS])
-        self.classes = np.full(0x110000, OTHER, np.uint8)
-        self.classes[0] = SPACE
-        self.classes[kept] = np.arange(1, len(kept) + 1)
-        tables, roots, base = [], [], 0
-        for k in self.names:
-            to = suffix_automaton(self.classes[text[k]], CLASSES)
-            states = np.arange(len(to), dtype=np.int32)
-            start = np.maximum(to[0], 0)  # after a phrase's end its last character begins the next
-            full = np.where(to < 0, (start[None, :] * CLASSES + base) | _FLAG, to * CLASSES + base)
-            full[:, PAD] = states * CLASSES + base
-            tables.append(full.astype(np.int32).ravel())
-            roots.append(base)
-            base += full.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-        self.roots = np.array(roots, np.int32)
+        seen = np.unique(np.concatenate([np.zeros(1, np.uint32), *text.values()]))
+        # each letter of the samples is a symbol of its own, 0 is what is no letter; the two last ones are all other letters, and a lane's filling
+        self.other, self.pad = len(seen), len(seen) + 1
+        self.kind = np.uint16 if self.pad < 1 << 16 else np.int32
+        self.classes = np.full(0x110000, self.other, self.kind)
+        self.classes[seen] = np.arange(len(seen))
+        self.automata = [_Automaton(self.classes[text[k]], self.pad + 1) for k in self.names]
         self.weight = np.array([np.log2(max(2, len(text[k]))) for k in self.names])
 
     def rates(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +154,7 @@ class CrossParser:
             c = self.classes[x]
             sizes[i] = len(c)
             n = -(-len(c) // LANE)
-            wide = np.full(n * LANE, PAD, np.uint8)
+            wide = np.full(n * LANE, self.pad, self.kind)
             wide[: len(c)] = c
             lanes.append(wide.reshape(n, LANE))
             owner.append(np.full(n, i))
@@ -131,19 +168,11 @@ class CrossParser:
 
     def _phrases(self, codes: np.ndarray) -> np.ndarray:
         # lanes that are used up drop out: those with most characters come first
-        used = (codes != PAD).sum(1)
+        used = (codes != self.pad).sum(1)
         order = np.argsort(-used, kind="stable")
-        steps = np.ascontiguousarray(codes[order].T).astype(np.int32)
+        steps = np.ascontiguousarray(codes[order].T)
         alive = np.searchsorted(-used[order], -np.arange(codes.shape[1]), "left")
-        phrases = np.ones((len(self.names), len(codes)), np.int32)
-        for g, root in enumerate(self.roots):
-            state = np.full(len(codes), root, np.int32)
-            for t in range(codes.shape[1]):
-                if not (m := alive[t]):
-                    break
-                got = self.table.take(state[:m] + steps[t, :m])
-                phrases[g, :m] += got >> 30
-                np.bitwise_and(got, _FLAG - 1, out=state[:m])
+        phrases = np.stack([own.phrases(steps, alive) for own in self.automata])
         out = np.empty_like(phrases)
         out[:, order] = phrases
         return out
@@ -153,16 +182,18 @@ def learn(docs: DataFrame) -> dict[str, str]:
     """A bounded sample of labelled text for each language; rows are chosen by a hash of their text."""
     prepare(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return {}
-    most = min(SAMPLE_DOCS, SAMPLE_ALL // len(counts))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 3 * most / r["count"]))).otherwise(share)
+    most, chars = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(counts))), max(1, min(SAMPLE_CHARS, SAMPLE_CHARS * SAMPLE_ALL // len(counts)))
+    share = F.try_element_at(F.from_json(F.lit(json.dumps({k: min(1.0, 3 * most / n) for k, n in counts.items()})), "map<string,double>"), F.col("lang"))
     rank = F.xxhash64("text").alias("rank")
-    part = F.substring("text", 1, SAMPLE_CHARS).alias("part")
-    rows = known.select("lang", rank, part, share.alias("share")).where("(rank & 16777215) < share * 16777216 and part rlike '\\\\p{L}'").select("lang", "rank", "part").collect()
+    lettered = known.select("lang", rank, F.substring("text", 1, chars).alias("part"), share.alias("share")).where("part rlike '\\\\p{L}'")
+    rows = lettered.where("(rank & 16777215) < share * 16777216").select("lang", "rank", "part").collect()
+    if left := sorted(set(counts) - {r["lang"] for r in rows}):
+        # where the hash leaves no row of a language, its first one by the same order
+        first = lettered.where(F.col("lang").isin(left)).groupBy("lang").agg(F.min(F.struct((F.col("rank").bitwiseAND(16777215)).alias("low"), "rank", "part")).alias("x"))
+        rows += first.select("lang", "x.rank", "x.part").collect()
     out: dict[str, list[str]] = {}
     for lang, _, text in sorted(set(rows), key=lambda r: (r[0], r[1] & 16777215, r[1], r[2])):
         if len(got := out.setdefault(lang, [])) < most and text not in got:
