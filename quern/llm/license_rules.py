@@ -41,7 +41,7 @@ NAMES = [
     ("eupl", "european union public", r"european union public"), ("artistic", "artistic", r"artistic"), ("artistic-2.0", "artistic", r"artistic license (?:version )?2(?: 0)?"), ("ofl", "open font", r"(?:sil )?open font"),
     ("zlib", "zlib", r"zlib(?: libpng)?"), ("boost", "boost", r"boost software"), ("unlicense", "unlicense", r"unlicense"), ("wtfpl", "wtfpl", r"wtfpl"), ("python", "python", r"python software foundation"), ("php", "php", r"php"),
     ("postgresql", "postgresql", r"postgresql"), ("openssl", "openssl", r"openssl"), ("ruby", "ruby", r"ruby"), ("unicode", "unicode", r"unicode"), ("vim", "vim", r"vim"), ("w3c", "w3c", r"w3c(?: software)?"), ("ms-pl", "microsoft public", r"microsoft public"),
-    ("odbl", "open database", r"open (?:data )?database"), ("odc-by", "open data commons", r"open data commons attribution"), ("pddl", "public domain dedication", r"public domain dedication and"),
+    ("odbl", "open data", r"open (?:data )?database"), ("odc-by", "open data commons", r"open data commons attribution"), ("pddl", "public domain dedication", r"public domain dedication and"),
     ("cc0", "cc0", r"cc0(?: 1 0)?"), ("cc0", "cc zero", r"cc zero"), ("cc-by", "cc by", r"cc by"), ("cc-by", "creative commons", r"creative commons attribution"),
     ("cc-by-sa", "cc by", r"cc by sa"), ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike"), ("cc-by-nc", "cc by", r"cc by nc"), ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial"),
     ("cc-by-nd", "cc by", r"cc by nd"), ("cc-by-nd", "creative commons", r"creative commons attribution no ?deriv[a-z]*"), ("cc-by-nc-sa", "cc by", r"cc by nc sa"), ("cc-by-nc-nd", "cc by", r"cc by nc nd"),
@@ -50,7 +50,7 @@ NAMES = [
 #: How a text refers to a name: regex, what it adds to the priority, confidence, keywords of which one must occur as well.
 FORMS = [
     (r"(?:re|dual )?licen[sc]ed (?:to you )?under (?:the |a )?(?:terms of the )?{}(?: licen[sc]e)?", 30, 0.95, ("licensed", "licenced")),
-    (r"(?:released|distributed|available|published|provided|covered|governed|made available) (?:under|by) (?:the |a )?(?:terms of the )?{}(?: licen[sc]e)?", 25, 0.9, ("under", "by")),
+    (r"(?:released|distributed|available|published|provided|covered|governed|made available) (?:under|by) (?:the |a )?(?:terms of the )?{}(?: licen[sc]e)?", 25, 0.9, (" under ", " by ")),
     (r"(?:terms|conditions) of (?:the )?{}(?: licen[sc]e)?", 20, 0.85, ("terms", "conditions")),
     (r"spdx licen[sc]e identifier {}", 40, 0.99, ("spdx",)),
     (r"(?:gnu )?{} licen[sc]e", 10, 0.75, ("license", "licence")),
@@ -60,8 +60,8 @@ NOTICES = [
     ("reserved", "rights reserved", r"(?:all|some|no) rights reserved", 15, 0.8), ("copyright", "copyright", r"copyright (?:c |\xc2\xa9 )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*", 12, 0.8), ("copyright", "copyright", r"copyright (?:by|holders?|notice|owner|reserved)", 8, 0.6),
     ("public-domain", "public domain", r"(?:in|into|to) the public domain", 14, 0.8), ("public-domain", "public domain", r"dedicated to the public domain", 18, 0.9), ("warranty", "warranty", r"without warranty of any kind", 9, 0.7), ("warranty", "as is", r"provided (?:on an )?as is", 8, 0.6),
     ("permission", "permission", r"permission is hereby granted(?: free of charge)?", 16, 0.9), ("permission", "permission", r"permission to use copy modify and or distribute", 16, 0.9), ("redistribution", "redistribution", r"redistribution and use in source and binary forms", 18, 0.9),
-    ("proprietary", "proprietary", r"proprietary and confidential", 12, 0.8), ("proprietary", "confidential", r"unauthorized (?:copying|use|distribution) (?:of this file )?is (?:strictly )?prohibited", 12, 0.8), ("gpl", "free software", r"this (?:program|library) is free software you can redistribute it", 18, 0.85),
-    ("no-ai", "training", r"(?:may not|must not|not) be used (?:for|to) (?:train|training)[a-z ]{0,20}(?:models?|ai)", 14, 0.8), ("cc", "creative commons", r"creative commons", 5, 0.6), ("license-file", "license", r"see (?:the )?(?:file )?(?:license|copying)(?: file)?", 6, 0.5),
+    ("proprietary", "proprietary", r"proprietary and confidential", 12, 0.8), ("proprietary", "unauthorized", r"unauthorized (?:copying|use|distribution) (?:of this file )?is (?:strictly )?prohibited", 12, 0.8), ("gpl", "free software", r"this (?:program|library) is free software you can redistribute it", 18, 0.85),
+    ("no-ai", "train", r"(?:may not|must not|not) be used (?:for|to) (?:train|training)[a-z ]{0,20}(?:models?|ai)", 14, 0.8), ("cc", "creative commons", r"creative commons", 5, 0.6), ("license-file", " see ", r"see (?:the )?(?:file )?(?:license|copying)(?: file)?", 6, 0.5),
 ]
 
 
@@ -129,13 +129,16 @@ def detections(norm: bytes) -> list[tuple[int, int, Rule]]:
     return [(norm.count(b" ", 0, a), norm.count(b" ", 0, b), r) for a, b, r in sorted(kept, key=lambda x: x[:2])]
 
 
-_HINTS = (b"licen", b"copyright", b"rights reserved", b"public domain", b"warrant", b"permission", b"redistribution", b"proprietary", b"confidential", b"free software", b"training", b"creative commons", b"cc0", b"cc by", b"cc zero", b"as is", b"spdx", b" under ", b"terms of", b"conditions of", b"gpl")
+@cache
+def hints() -> tuple[bytes, ...]:
+    """Words of which every match of any rule has one: the rules' own keywords, those of the form where there are any."""
+    return tuple(sorted({k.encode() for r in rules() for k in r.keywords[1:] or r.keywords}))
 
 
 def scan(text: str) -> dict:
     norm, n = normalized(text)
     base = {label: at for phrase, label in BASE.items() if (at := starts(norm, phrase.encode()))}
-    found = detections(norm) if any(h in norm for h in _HINTS) else []
+    found = detections(norm) if any(h in norm for h in hints()) else []
     places = [x for at in base.values() for x in at]
     miss = 1.0
     for *_, r in found:

@@ -1,11 +1,13 @@
 """Cases that a bound or a prefilter once left out."""
 
 import random
+from re import _parser
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import language_id as L
+from quern.llm import license_rules as R
 
 
 def _sentences(r, letters, n):
@@ -46,3 +48,44 @@ def test_phrases_of_large_alphabets():
         codes = p.classes[L.folded(t)]
         for g, name in enumerate(p.names):
             assert row[g] == pytest.approx(_phrases(codes, p.classes[L.folded(samples[name])]) * p.weight[g] / len(codes))
+
+
+def _match(r, parsed):
+    """A string that a parsed regex matches."""
+    out = ""
+    for op, x in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "SUBPATTERN":
+            out += _match(r, x[3])
+        elif op == "BRANCH":
+            out += _match(r, r.choice(x[1]))
+        elif op == "MAX_REPEAT":
+            out += "".join(_match(r, x[2]) for _ in range(r.randint(x[0], min(x[1], x[0] + 3))))
+        elif op == "IN":
+            kind, y = r.choice(x)
+            out += chr(y if str(kind) == "LITERAL" else r.randint(*y))
+        else:
+            assert op == "ASSERT", op  # the space after a match
+    return out
+
+
+def test_no_license_rule_is_narrowed_by_a_prefilter():
+    r = random.Random(7)
+    for rule in R.rules():
+        parsed = _parser.parse(rule.regex.pattern)
+        for _ in range(40):
+            norm = _match(r, parsed).encode("latin-1") + b" "
+            assert rule.regex.match(norm), norm
+            # what detections() and scan() ask for before they try the rule
+            assert rule.keywords[0].encode() in norm and (len(rule.keywords) == 1 or any(k.encode() in norm for k in rule.keywords[1:])), (rule, norm)
+            assert any(h in norm for h in R.hints()), (rule, norm)
+
+
+@pytest.mark.parametrize(("text", "label"), [
+    ("This project is covered by Apache 2.0", "apache-2.0"), ("governed by MIT", "mit"), ("released by Mozilla Public 2.0", "mpl"), ("Unauthorized copying of this file is strictly prohibited.", "proprietary"),
+    ("must not be used to train AI models", "no-ai"), ("see the file COPYING", "license-file"), ("provided under the Open Data Database", "odbl"),
+])
+def test_license_rules_without_other_hints(text, label):
+    assert label in R.scan(text)["labels"].split(",")
