@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import language_id as L
 from quern.llm import license_rules as R
+from quern.llm import secret_crf as S
 
 
 def _sentences(r, letters, n):
@@ -89,3 +90,25 @@ def test_no_license_rule_is_narrowed_by_a_prefilter():
 ])
 def test_license_rules_without_other_hints(text, label):
     assert label in R.scan(text)["labels"].split(",")
+
+
+def test_secrets_without_digits():
+    field = S.trained()
+    for text, secret in [("pwd: CorrectHorseBattery and more", "CorrectHorseBattery"), ("passphrase = correct-horse-battery-staple\n", "correct-horse-battery-staple"), ("header bearer QWxhZGRpbjpvcGVu now", "QWxhZGRpbjpvcGVu")]:
+        assert [text[a:b] for a, b in field.spans(text)] == [secret]
+    assert field.spans("the secret garden was open: nobody knew") == []
+    r, hit, real = random.Random(123), 0, 0
+    for _ in range(300):
+        text, spans = S.generated_file(r)
+        bare = {(a, b) for a, b in spans if not any(c in "0123456789_+/" for c in text[a:b])}
+        hit, real = hit + len(bare & set(field.spans(text))), real + len(bare)
+    assert real > 100 and hit / real > 0.85
+
+
+def test_cues_are_found_in_linear_time():
+    import time
+
+    for text in ("=" * 200_000 + ".", "token" + " " * 200_000 + ".", "= " * 100_000 + ".", "key is " * 30_000 + ".", "-" * 200_000 + "A"):
+        began = time.time()
+        S.stretches(text)
+        assert time.time() - began < 10
