@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quern.llm import language_id as L
 from quern.llm import license_rules as R
 from quern.llm import secret_crf as S
+from quern.llm.ngram_join import one_of_each_group
 
 
 def _sentences(r, letters, n):
@@ -112,3 +113,11 @@ def test_cues_are_found_in_linear_time():
         began = time.time()
         S.stretches(text)
         assert time.time() - began < 10
+
+
+def test_only_the_text_that_lost_its_group_goes(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, clean = " ".join(words), "another text of several words that stands in no group at all"
+    rows = [(1, near, "a"), (5, near + " end", "b"), (5, clean, "c"), (5, clean, "c"), (5, None, "d"), (7, near + " end", "e"), (8, clean + " but long enough to be another one now and then", "f")]
+    kept = one_of_each_group(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert sorted((r["doc_id"], r["source"]) for r in kept) == [(1, "a"), (5, "c"), (5, "d"), (8, "f")]
