@@ -99,8 +99,9 @@ def stretches(text: str) -> list[tuple[list[tuple[str, int, int]], list[bool], l
                 word = bool(_WORD.match(t))
                 free.append(start in cued or bool(_MARK.search(t)) if word else t in ".~$%&*@#!" and 0 < i < len(found) - 1)
             tokens += found
-        near = lambda a, b: [m[0] for p, _ in pieces[max(0, a) : b] for m in _TOKEN.finditer(p[:200])]
-        out.append((tokens, free, near(k - 3, k)[-3:], near(end, end + 1)[:1]))
+        before = [m[0] for p, _ in pieces[max(0, k - 3) : k] for m in _TOKEN.finditer(p[-200:])]
+        after = [m[0] for p, _ in pieces[end : end + 1] for m in _TOKEN.finditer(p[:200])]
+        out.append((tokens, free, before[-3:], after[:1]))
         k = end
     return out
 

@@ -121,3 +121,8 @@ def test_only_the_text_that_lost_its_group_goes(spark):
     rows = [(1, near, "a"), (5, near + " end", "b"), (5, clean, "c"), (5, clean, "c"), (5, None, "d"), (7, near + " end", "e"), (8, clean + " but long enough to be another one now and then", "f")]
     kept = one_of_each_group(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
     assert sorted((r["doc_id"], r["source"]) for r in kept) == [(1, "a"), (5, "c"), (5, "d"), (8, "f")]
+
+
+def test_the_words_before_a_stretch_are_the_last_ones():
+    (_, _, before, after), = S.stretches("ab.cd," * 50 + "hash a1b2c3 " + "ef,gh." * 50)
+    assert before == ["cd", ",", "hash"] and after == ["ef"]
