@@ -22,10 +22,12 @@ def importable(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a local folder of our own."""
+    """spark.checkpoint.dir of the session. Where it is unset, a folder of our own if all executors run in this machine's one JVM, else an error."""
     sc = spark.sparkContext
     if found := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
         return found.rstrip("/")
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
     sc.setCheckpointDir(made := tempfile.mkdtemp(prefix="quern-shared-"))
     return f"file://{made}"
 
@@ -41,3 +43,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
         _own.clear()
         _own[sc.applicationId] = path
     return f"{_own[sc.applicationId]}/{uuid.uuid4().hex[:12]}-{name}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that new_folder() gave."""
+    sc = spark.sparkContext
+    gone = sc._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(sc._jsc.hadoopConfiguration()).delete(gone, True)
