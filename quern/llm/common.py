@@ -9,32 +9,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from quern.session import importable, new_folder
+from quern.session import importable, new_folder, remove
 
-#: Rows in one Arrow batch: with the longest texts a batch stays at some tens of MB.
+#: Rows that an operator works on at once.
 BATCH_ROWS = 1000
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_CLEANUP, _BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package and keeps their batches small."""
-    importable(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
+    """Lets Python workers import this package."""
+    return importable(spark)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads it again. It survives lost executors."""
+def materialize(df: DataFrame, name: str, *gone: DataFrame) -> DataFrame:
+    """Cuts the lineage: writes df as a table in the shared folder and reads it again. It survives lost executors.
+
+    gone: tables of earlier calls that only df was made from; they are deleted when the new table is whole. The session's settings are
+    changed for this one job alone.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")  # the table is whole when the job ends; its shuffle files are not needed again
+    # the table is whole when the job ends: its shuffle files are not needed again
+    rows = int(spark.conf.get(_BATCH))
+    own = {_CLEANUP: "true", _BATCH: str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for table in gone:
+        remove(spark, table._shared_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
 
 
 def task_count(spark: SparkSession) -> int:
@@ -42,7 +52,7 @@ def task_count(spark: SparkSession) -> int:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str | StructType) -> DataFrame:
-    """One output batch for each input batch."""
+    """One output batch for each BATCH_ROWS rows of an input batch."""
     return df.mapInArrow(_Each(fn), schema)
 
 
@@ -51,10 +61,11 @@ class _Each:
         self.fn = fn
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = self.fn(batch) if batch.num_rows else None
-            if out is not None and out.num_rows:
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                out = self.fn(whole.slice(at, BATCH_ROWS))
+                if out is not None and out.num_rows:
+                    yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
