@@ -17,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quern.llm.common import materialize, prepare, task_count, texts
+from quern.llm.common import map_batches, materialize, prepare, task_count, texts
 
 WINDOW = 1024
 OPEN_WINDOWS = 64
@@ -29,7 +30,7 @@ END_ID = 0
 #: Pre-tokenizer of the byte-level vocabulary (a fixed value of that format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-_encodings: dict = {}
+_encoders: dict = {}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -39,16 +40,53 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def encoding(vocabulary: bytes):
-    """An encoder with the ranks of a byte-level BPE file (its ids follow the order of its merges); cached in each worker."""
-    import tiktoken
+class Encoder:
+    """Token ids by the ranks of a byte-level BPE file (its ids follow the order of its merges).
+
+    The file's added tokens are found in a text before anything else, whatever stands beside them, and have their own ids, as in
+    the file's own library. Added tokens that would take in the space beside them, or stand for whole words only, are refused.
+    """
+
+    def __init__(self, vocabulary: bytes) -> None:
+        import tiktoken
 
-    if (key := zlib.crc32(vocabulary)) not in _encodings:
         spec, alphabet = json.loads(vocabulary), byte_alphabet()
-        special = {t["content"] for t in spec["added_tokens"]}
-        ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        _encodings[key] = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[key]
+        added = {t["content"]: t for t in spec["added_tokens"]}
+        if odd := [c for c, t in added.items() if t["lstrip"] or t["rstrip"] or t["single_word"]]:
+            raise ValueError(f"added tokens with rules for their surroundings: {odd}")
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+        self.own = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={c: t["id"] for c, t in added.items()})
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.own.encode_to_numpy(text, allowed_special="all")
+
+
+def encoder(vocabulary: bytes) -> Encoder:
+    """Cached in each worker."""
+    if (key := zlib.crc32(vocabulary)) not in _encoders:
+        _encoders[key] = Encoder(vocabulary)
+    return _encoders[key]
+
+
+class _Counts:
+    def __init__(self, vocabulary, name: str) -> None:
+        self.vocabulary, self.name = vocabulary, name
+
+    def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        encode = encoder(self.vocabulary.value)
+        counts = [len(encode(t)) + 1 for t in texts(batch)]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], [*batch.schema.names, self.name])
+
+
+def _vocabulary(spark: SparkSession, tokenizer: str):
+    with open(tokenizer, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())  # a file of fixed size
+
+
+def with_token_counts(docs: DataFrame, tokenizer: str, name: str) -> DataFrame:
+    """docs with a column of the number of token ids of text, with the end id, as pack() makes them; null texts have 1."""
+    spark = prepare(docs.sparkSession)
+    return map_batches(docs, _Counts(_vocabulary(spark, tokenizer), name), StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 class OpenWindows:
@@ -85,7 +123,7 @@ class _Pack:
         self.vocabulary, self.length, self.most = vocabulary, length, most
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, made = encoding(self.vocabulary.value), TaskContext.get().partitionId(), 0
+        encode, task, made = encoder(self.vocabulary.value), TaskContext.get().partitionId(), 0
         windows, rows = OpenWindows(self.most, self.length), []
 
         def emit(pieces: list[tuple | None], still_open: bool) -> None:
@@ -98,7 +136,7 @@ class _Pack:
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                ids = np.append(encode.encode_to_numpy(text), END_ID).astype("<u4")
+                ids = np.append(encode(text), END_ID).astype("<u4")
                 for at in range(0, len(ids), self.length):
                     cut = ids[at : at + self.length]
                     piece = (doc_id, at, len(cut), zlib.crc32(cut.tobytes()), len(ids))
@@ -148,14 +186,12 @@ class _Merge:
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: int = OPEN_WINDOWS) -> DataFrame:
     """One row for each piece of docs (columns doc_id, text; others are ignored): PIECE.
 
-    tokenizer: path of a byte-level BPE file. Null and empty texts are one piece, the end id. A repeated row is packed
+    tokenizer: path of a byte-level BPE file. Its added tokens are found in texts. Null and empty texts are one piece, the end id. A repeated row is packed
     as often as it occurs; a null doc_id stays null. Texts of any length are cut at the window. A sequence's offsets
     have no gaps. An empty table gives an empty result.
     """
     spark = prepare(docs.sparkSession)
-    with open(tokenizer, "rb") as f:
-        vocabulary = spark.sparkContext.broadcast(f.read())  # a file of fixed size
-    rows = materialize(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_Pack(vocabulary, window, open_windows), f"{PIECE}, still_open boolean, task bigint"), "pieces")
+    rows = materialize(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_Pack(_vocabulary(spark, tokenizer), window, open_windows), f"{PIECE}, still_open boolean, task bigint"), "pieces")
     columns = [c.split()[0] for c in PIECE.split(", ")]
     left = rows.where("still_open").withColumn("merge_group", F.expr(f"task div {MERGE_TASKS}"))
     left = left.repartition(task_count(spark), "merge_group").sortWithinPartitions("merge_group", F.desc("length"), "doc_id", "start", "task", "sequence_id", "offset")
