@@ -4,8 +4,8 @@ Method
     For each language a suffix automaton of labelled text is built. A text is parsed from left to right: each phrase is
     the longest match that the automaton follows, then the next begins. Fewer phrases mean that the text is made
     of that language's strings; phrases are normalised by the text's length and the automaton's log size, and the
-    language with the fewest wins. Texts are whole; they are parsed in lanes of LANE characters side by side, and
-    a phrase ends at a lane's end, for all languages alike.
+    language with the fewest wins. Texts are whole. Their lanes of LANE characters are parsed side by side; then each lane is begun
+    again in the state in which the one before it ended, until both parses are in the same state, so that phrases run over lanes' ends.
 """
 
 from __future__ import annotations
@@ -16,15 +16,14 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import map_batches, prepare
 
-#: The bound of the labelled sample: for each language, about SAMPLE_DOCS documents' first SAMPLE_CHARS characters; SAMPLE_ALL documents
-#: in all, where there are many languages, so that the automata of all stay below some 150 MB in a worker. Every language has one at
-#: least; of more than SAMPLE_ALL languages, each has a shorter one.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 160, 200, 1280
+#: The bound of the labelled sample: SAMPLE_PIECES pieces of PIECE characters for each language, SAMPLE_ALL of all languages together, so
+#: that all automata stay below some 150 MB in a worker. With more than SAMPLE_ALL languages, each has one shorter piece.
+SAMPLE_PIECES, PIECE, SAMPLE_ALL = 160, 200, 1280
 LANE = 512
 #: The automaton of a sample of more symbols than this has its transitions by key instead of in a table.
 DENSE = 64
@@ -104,29 +103,63 @@ class _Automaton:
             order = np.argsort(keys)
             self.keys, self.to = keys[order], to[order].astype(np.int32)
 
-    def phrases(self, steps: np.ndarray, alive: np.ndarray) -> np.ndarray:
-        """The phrases of each column of symbols, of which the first alive[t] go on at step t."""
-        state = np.zeros(steps.shape[1], np.int32)
-        phrases = np.ones(steps.shape[1], np.int32)
-        steps = self.classes.take(steps)
-        for t in range(len(steps)):
-            if not (m := alive[t]):
-                break
-            if self.dense:
-                got = self.table.take(state[:m] + steps[t, :m])
-                phrases[:m] += got >> 30
-                np.bitwise_and(got, _FLAG - 1, out=state[:m])
-            else:
-                c = steps[t, :m]
-                known = np.flatnonzero(c < self.width - 1)  # a symbol that the sample lacks ends a phrase anyway
-                key = state[known].astype(np.int64) * self.width + c[known]
-                k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[k] == key
-                phrases[:m] += 1
-                phrases[known[hit]] -= 1
-                state[:m] = self.start[c]
-                state[known[hit]] = self.to[k[hit]]
-        return phrases
+    def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one symbol each (its class), and 1 where a phrase ended before it."""
+        if self.dense:
+            got = self.table.take(state + c)
+            return got & (_FLAG - 1), got >> 30
+        ended = np.ones(len(c), np.int32)
+        now = self.start.take(c)
+        known = np.flatnonzero(c < self.width - 1)  # a symbol that the sample lacks ends a phrase anyway
+        key = state[known].astype(np.int64) * self.width + c[known]
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[k] == key
+        ended[known[hit]] = 0
+        now[known[hit]] = self.to[k[hit]]
+        return now, ended
+
+    def parse(self, lanes: np.ndarray, sizes: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
+        """Ends of phrases in each lane of symbols, of which the first sizes[i] count; goes_on: the text of the lane before goes on in this one."""
+        ends, last = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int32)
+        for a in range(0, len(lanes), 16384):
+            order = a + np.argsort(-sizes[a : a + 16384], kind="stable")
+            steps = self.classes.take(np.ascontiguousarray(lanes[order].T))
+            alive = np.searchsorted(-sizes[order], -np.arange(lanes.shape[1]), "left")
+            state, count = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
+            for t in range(len(steps)):
+                if not (m := alive[t]):
+                    break
+                state[:m], ended = self.step(state[:m], steps[t, :m])
+                count[:m] += ended
+            ends[order], last[order] = count, state
+        # each lane was begun at the root; a lane that goes on begins where the one before it ended
+        begun = np.zeros(len(lanes), np.int32)
+        again = np.flatnonzero(goes_on)
+        while len(again):
+            again = again[begun[again] != last[again - 1]]
+            changed = []
+            for a in range(0, len(again), 16384):
+                own = again[a : a + 16384]
+                old, new = begun[own].copy(), last[own - 1].copy()
+                begun[own] = new
+                t = 0
+                while len(own):
+                    over = sizes[own] <= t
+                    if over.any():  # the lane ended before the parses met
+                        last[own[over]] = new[over]
+                        changed.append(own[over])
+                    live = ~over & (old != new)
+                    own, old, new = own[live], old[live], new[live]
+                    if len(own):
+                        c = self.classes.take(lanes[own, t])
+                        old, less = self.step(old, c)
+                        new, more = self.step(new, c)
+                        ends[own] += more - less
+                        t += 1
+            after = np.concatenate(changed) + 1 if changed else np.zeros(0, np.int64)
+            after = after[after < len(lanes)]
+            again = np.unique(after[goes_on[after]])
+        return ends
 
 
 class CrossParser:
@@ -160,44 +193,46 @@ class CrossParser:
             owner.append(np.full(n, i))
         found = np.zeros((len(texts), len(self.names)))
         if lanes and self.names:
-            which = np.concatenate(owner)
-            codes = np.concatenate(lanes)
-            for a in range(0, len(which), 16384):
-                np.add.at(found, which[a : a + 16384], self._phrases(codes[a : a + 16384]).T)
+            which, codes = np.concatenate(owner), np.concatenate(lanes)
+            goes_on = np.r_[False, which[1:] == which[:-1]]
+            used = (codes != self.pad).sum(1)
+            for k, own in enumerate(self.automata):
+                found[:, k] = np.bincount(which, own.parse(codes, used, goes_on), len(texts))
+            found[sizes > 0] += 1  # the last phrase of each text
         return found * self.weight / np.maximum(1, sizes)[:, None], sizes > 0
 
-    def _phrases(self, codes: np.ndarray) -> np.ndarray:
-        # lanes that are used up drop out: those with most characters come first
-        used = (codes != self.pad).sum(1)
-        order = np.argsort(-used, kind="stable")
-        steps = np.ascontiguousarray(codes[order].T)
-        alive = np.searchsorted(-used[order], -np.arange(codes.shape[1]), "left")
-        phrases = np.stack([own.phrases(steps, alive) for own in self.automata])
-        out = np.empty_like(phrases)
-        out[:, order] = phrases
-        return out
-
 
 def learn(docs: DataFrame) -> dict[str, str]:
-    """A bounded sample of labelled text for each language; rows are chosen by a hash of their text."""
+    """A bounded sample of labelled text for each language: a text of the sample's pieces, by language.
+
+    Pieces are places in the distinct labelled texts of a language, drawn by a hash of text and number; copies of a text are one. A language
+    with few texts gives several pieces of each. All of it is done in the cluster; the driver gets the pieces alone.
+    """
     prepare(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = docs.where(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1) & F.col("text").rlike("\\p{L}"))
+    known = known.select("lang", "text", F.xxhash64("text").alias("hash"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n")).collect()}
     if not counts:
         return {}
-    most, chars = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(counts))), max(1, min(SAMPLE_CHARS, SAMPLE_CHARS * SAMPLE_ALL // len(counts)))
-    share = F.try_element_at(F.from_json(F.lit(json.dumps({k: min(1.0, 3 * most / n) for k, n in counts.items()})), "map<string,double>"), F.col("lang"))
-    rank = F.xxhash64("text").alias("rank")
-    lettered = known.select("lang", rank, F.substring("text", 1, chars).alias("part"), share.alias("share")).where("part rlike '\\\\p{L}'")
-    rows = lettered.where("(rank & 16777215) < share * 16777216").select("lang", "rank", "part").collect()
-    if left := sorted(set(counts) - {r["lang"] for r in rows}):
-        # where the hash leaves no row of a language, its first one by the same order
-        first = lettered.where(F.col("lang").isin(left)).groupBy("lang").agg(F.min(F.struct((F.col("rank").bitwiseAND(16777215)).alias("low"), "rank", "part")).alias("x"))
-        rows += first.select("lang", "x.rank", "x.part").collect()
+    most, chars = max(1, min(SAMPLE_PIECES, SAMPLE_ALL // len(counts))), max(1, min(PIECE, PIECE * SAMPLE_ALL // len(counts)))
+    of = lambda values, kind: F.try_element_at(F.from_json(F.lit(json.dumps(values)), f"map<string,{kind}>"), F.col("lang"))
+    # three times as many texts as are wanted pass, if there are so many; the window below keeps the first ones
+    share = of({k: min(1.0, 3 * most / max(1, n)) if n > 4 * most else 1.0 for k, n in counts.items()}, "double")
+    each = of({k: -(-2 * most // max(1, n)) for k, n in counts.items()}, "int")
+    lettered = lambda rows: rows.where(F.col("piece").rlike("\\p{L}")).groupBy("lang", "rank").agg(F.first("piece").alias("piece"))
+    rows = known.where((F.col("hash").bitwiseAND(16777215)) < share * 16777216).withColumn("number", F.explode(F.sequence(F.lit(1), each)))
+    place = F.pmod(F.xxhash64("hash", "number"), F.greatest(F.ceil(F.char_length("text") / chars), F.lit(1)))
+    rows = lettered(rows.select("lang", F.xxhash64("hash", place).alias("rank"), F.expr("text").substr((place * chars + 1).cast("int"), F.lit(chars)).alias("piece")))
+    first = Window.partitionBy("lang").orderBy("rank")
+    found = rows.withColumn("n", F.row_number().over(first)).where(f"n <= {most}").select("lang", "n", "piece").collect()  # SAMPLE_ALL pieces at most
+    if left := sorted(set(counts) - {r["lang"] for r in found}):
+        # where no piece that was drawn has a letter: the text of the smallest hash from its first letter on
+        begin = F.regexp_instr("text", F.lit("\\p{L}"))
+        one = known.where(F.col("lang").isin(left)).groupBy("lang").agg(F.min_by(F.expr("text").substr(begin, F.lit(chars)), "hash").alias("piece"))
+        found += one.select("lang", F.lit(1).alias("n"), "piece").collect()
     out: dict[str, list[str]] = {}
-    for lang, _, text in sorted(set(rows), key=lambda r: (r[0], r[1] & 16777215, r[1], r[2])):
-        if len(got := out.setdefault(lang, [])) < most and text not in got:
-            got.append(text)
+    for lang, _, piece in sorted(found):
+        out.setdefault(lang, []).append(piece)
     return {k: " ".join(v) for k, v in out.items()}
 
 
@@ -229,29 +264,36 @@ class _Predict:
 
 
 class _Accept:
-    def __init__(self, samples: dict[str, str], most: float) -> None:
-        self.samples, self.most = samples, most
+    def __init__(self, samples: dict[str, str], languages: list[str] | None) -> None:
+        self.samples, self.languages = samples, languages
 
     def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         own = parser(self.samples)
-        rates, letters = own.rates(texts := batch.column("text").to_pylist())
+        rates, ok = own.rates(texts := batch.column("text").to_pylist())
         if rates.shape[1]:
             # a few phrases say nothing: a short text may have FREE_PHRASES more
             free = FREE_PHRASES * own.weight.max() / np.array([max(1, len(t or "")) for t in texts])
-            letters &= rates.min(1) <= self.most + free
-        return batch.filter(pa.array(letters))
+            ok &= rates.min(1) <= MOST_RATE + free
+            if self.languages is not None:
+                ok &= np.isin(np.array(own.names), self.languages)[rates.argmin(1)]
+        return batch.filter(pa.array(ok))
 
 
 #: Normalised phrases for each character beyond which a text is in none of the learned languages. Texts of a learned language
-#: have 1 to 5; a text of unknown letters, where each is a phrase, has the log size of an automaton, about 15.
-MOST_RATE, FREE_PHRASES = 8.0, 4
+#: have 1 to 4 (median 2.5, highest of a hundred 3.0); strings of letters at random have 6 to 8, and a text of letters
+#: that no sample has, each a phrase, the log size of an automaton, about 15.
+MOST_RATE, FREE_PHRASES = 5.5, 4
+
 
+def in_known_language(docs: DataFrame, samples: dict[str, str] | None = None, languages: list[str] | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in a learned language (languages: in one of these).
 
-def in_known_language(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is in a learned language. Null texts and texts without letters go."""
+    A text goes if even its nearest language needs more than MOST_RATE normalised phrases a character, and FREE_PHRASES phrases in all:
+    strings at random, other scripts. Null texts and texts without letters go. Where nothing could be learned, all others stay.
+    """
     prepare(docs.sparkSession)
     samples = learn(docs) if samples is None else samples
-    return map_batches(docs, _Accept(samples, MOST_RATE), docs.schema)
+    return map_batches(docs, _Accept(samples, languages), docs.schema)
 
 
 def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:
@@ -259,7 +301,8 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFram
 
     held_out: crc32 of doc_id as text leaves 1 by 3; false for a null doc_id, which teaches nothing either. A text that
     is null or has no letter is 'und' with score 0, and so is every text when nothing could be learned. score is the winner's share of the
-    languages' inverse phrase rates to the fourth power; ties go to the first language by name. Repeated rows are judged alike.
+    languages' inverse phrase rates to the fourth power; ties go to the first language by name. Repeated rows are judged alike. Texts of any
+    length are parsed whole, in time in proportion to it. An empty table gives an empty result; other columns are ignored.
     """
     prepare(docs.sparkSession)
     samples = learn(docs) if samples is None else samples

@@ -1,6 +1,7 @@
 """Cases that a bound or a prefilter once left out."""
 
 import random
+import zlib
 from re import _parser
 
 import pytest
@@ -37,6 +38,50 @@ def test_a_label_whose_rows_the_sample_misses_is_learned(spark):
     assert set(L.learn(docs)) == {str(k) for k in range(20)}
 
 
+def test_copies_do_not_starve_the_sample(spark):
+    # 4,000 rows, 2 % of them distinct: the sample holds pieces of all distinct texts
+    r = random.Random(9)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(150)) + f" {chr(97 + i // 26)}{chr(97 + i % 26)}z" for i in range(80)]
+    docs = spark.createDataFrame([(3 * i, texts[i % 80 if i < 400 else 0], "x") for i in range(4000)], "doc_id bigint, text string, lang string")
+    learned = L.learn(docs)["x"]
+    known = {x for i, x in enumerate(texts) if any(zlib.crc32(str(3 * j).encode()) % 3 != 1 for j in range(i, 400, 80))}
+    assert len(known) > 75 and all(x in learned for x in known)
+
+
+def test_the_sample_is_bounded_and_not_of_beginnings(spark):
+    text = " ".join(f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd")
+    learned = L.learn(spark.createDataFrame([(0, text * 40, "x")], "doc_id bigint, text string, lang string"))["x"]
+    assert len(learned) <= L.SAMPLE_PIECES * (L.PIECE + 1) and sum(w in learned for w in text.split()) > 900
+    late = "1 " * 50_000 + "letters at the end"
+    assert "letters at" in L.learn(spark.createDataFrame([(0, late, "x")], "doc_id bigint, text string, lang string"))["x"]
+
+
+@pytest.mark.parametrize("lane", [1, 7, 512])
+def test_phrases_run_over_the_ends_of_lanes(monkeypatch, lane):
+    from tests.llm.test_brute_force import _phrases
+
+    monkeypatch.setattr(L, "LANE", lane)
+    r = random.Random(8)
+    samples = {"a": "".join(r.choice("ab ") for _ in range(400)), "b": "abc" * 100, "c": "".join(chr(0x4E00 + r.randrange(90)) for _ in range(500))}
+    p = L.CrossParser(samples)
+    texts = [samples["a"] * 5, "abc" * 700, "bca" * 300 + "x" + samples["a"], samples["c"][7:] * 3, "a", "".join(r.choice("abc q") for _ in range(3000))]
+    for t, row in zip(texts, p.rates(texts)[0]):
+        codes = p.classes[L.folded(t)]
+        for g, name in enumerate(p.names):
+            assert row[g] * len(codes) / p.weight[g] == pytest.approx(_phrases(codes, p.classes[L.folded(samples[name])]))
+
+
+def test_texts_in_no_learned_language_go(spark):
+    r = random.Random(10)
+    words = ["the", "river", "and", "house", "many", "green", "under", "stone", "water", "walking"]
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    soup = "".join(r.choice("bcdfgjkpqxzvw") + r.choice("hjkqxyz") + " " * (r.random() < 0.2) for _ in range(300))
+    rows = [(i, line(40), "en") for i in range(60)] + [(100, line(30), None), (101, "the house", None), (102, soup, None), (103, "Καλημέρα σε όλους τους ανθρώπους της πόλης και του χωριού", None), (104, "1234 5678", None), (105, "zzq", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r["doc_id"] for r in L.in_known_language(docs).where("doc_id >= 100").collect()} == {100, 101, 105}
+    assert L.in_known_language(docs, languages=["de"]).count() == 0
+
+
 def test_phrases_of_large_alphabets():
     from tests.llm.test_brute_force import _phrases
 
