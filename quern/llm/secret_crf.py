@@ -232,7 +232,7 @@ def trained() -> Field:
         text, spans = generated_file(r)
         whole = file_features(text)
         for tokens, free, before, after in stretches(text):
-            if any(free) and len(tokens) <= 40:
+            if any(free):
                 tags, inside = [], None
                 for (_, a, b), ok in zip(tokens, free, strict=True):
                     hit = next((s for s in spans if s[0] <= a and b <= s[1]), None) if ok else None
@@ -310,7 +310,8 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row of docs (columns doc_id, text; others are ignored).
 
     Null text is empty: counts 0, the digest of the empty string, no spans. spans lists kind:start:end in code points, by start and
-    then kind; the field's spans have kind crf and never overlap base ones. Repeated rows are judged alike.
+    then kind; the field's spans have kind crf and never overlap base ones. Repeated rows are judged alike. Texts are scanned whole, in time
+    in proportion to their length. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), _Scan(trained()), "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
