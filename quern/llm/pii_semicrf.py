@@ -2,10 +2,11 @@
 
 Method
     A segmentation of the tokens gives each segment a type: email, ip, card or phone for a span of at most MOST_TOKENS
-    tokens, or none for a single token. Features look at the whole span (its form, digits, check digit, separators, length), what bounds it and
-    the words before it. Dynamic programming over segment ends takes the best segmentation, so that boundaries and
-    types are chosen together. A span of personal data holds a digit or '@'; so the programme runs over stretches of pieces
-    with one, and what lies between is none. The field is trained here on generated texts with a fixed seed.
+    tokens and MOST_CHARS characters, or none for a single token. Features look at the whole span (its form, digits, check digit, separators,
+    length), what bounds it and the three words before the stretch. Dynamic programming over segment ends takes the best segmentation, so that
+    boundaries and types are chosen together. A span of personal data holds a digit or '@'; so the programme runs over stretches of pieces
+    with one, and what lies between is none. The field is trained here on generated texts with a fixed seed. span_features() says what the
+    features are; decoding computes the same ones for all candidate spans of many stretches at once.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ import hashlib
 import random
 import re
 import string
-from functools import cache, lru_cache
+from bisect import bisect_right
+from collections import deque
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,7 @@ _DIGIT = re.compile(r"[0-9]")
 _PIECE = re.compile(r"\S+")
 _ANCHOR = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
+_ADDRESS = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 _EMAIL_FORM = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _CUES = {
     "phone": ("phone", "tel", "telephone", "call", "mobile", "cell", "fax", "whatsapp", "telefon", "téléphone", "teléfono"), "email": ("mail", "email", "contact", "write", "e-mail", "correo"), "ip": ("ip", "host", "server", "address", "from", "client"), "card": ("card", "visa", "mastercard", "credit", "payment", "karte", "carte", "tarjeta", "amex"),
@@ -55,6 +59,10 @@ def _octets(text: str) -> bool:
     return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in text.split("."))
 
 
+def _is_address(text: str) -> bool:
+    return _ADDRESS.fullmatch(text) is not None and _octets(text)
+
+
 def _emails(text: str) -> list[tuple[int, int]]:
     out, at, last = [], text.find("@"), 0
     while at >= 0:
@@ -82,18 +90,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def stretches(text: str) -> list[tuple[int, str, str]]:
-    """(start, stretch, the text before) of each run of pieces with a digit or '@'."""
+def stretches(text: str) -> list[tuple[int, str, tuple[str, ...]]]:
+    """(start, stretch, the three pieces before) of each run of pieces with a digit or '@'."""
     if "@" not in text and not _DIGIT.search(text):
         return []
-    out, begun, end = [], -1, 0
+    out, begun, end, before = [], -1, 0, ()
+    last: deque[str] = deque(maxlen=3)
     for m in _PIECE.finditer(text):
         if _ANCHOR.search(m[0]):
-            begun, end = (m.start() if begun < 0 else begun), m.end()
+            if begun < 0:
+                begun, before = m.start(), tuple(last)
+            end = m.end()
         elif begun >= 0:
-            out.append((begun, text[begun:end], text[max(0, begun - 60) : begun]))
+            out.append((begun, text[begun:end], before))
             begun = -1
-    return out if begun < 0 else [*out, (begun, text[begun:end], text[max(0, begun - 60) : begun])]
+        last.append(m[0])
+    return out if begun < 0 else [*out, (begun, text[begun:end], before)]
 
 
 def tokens(stretch: str) -> list[tuple[int, int]]:
@@ -130,7 +142,7 @@ def span_features(stretch: str, a: int, b: int, cues: frozenset[str]) -> list[st
     size = next(k for k, most in enumerate((3, 6, 7, 9, 10, 12, 15, 16, 19, 1 << 62)) if n <= most)
     out = ["bias", f"form={form}", f"left={open_left:d}", f"right={open_right:d}", f"bound={open_left and open_right:d}{form}", f"tail={len(s) > 48:d}"]
     if form == "quad":
-        return [*out, f"octets={_octets(s) and all(0 < len(p) < 4 for p in s.split('.')):d}", *(f"cue={c}" for c in cues)]
+        return [*out, f"octets={_is_address(s):d}", *(f"cue={c}" for c in cues)]
     if form in ("digits", "plus"):
         groups = [len(g) for g in re.split(r"[^0-9]+", s) if g]
         seps = "".join(sorted(other - {"+"}))
@@ -138,48 +150,226 @@ def span_features(stretch: str, a: int, b: int, cues: frozenset[str]) -> list[st
     return [*out, *(f"cue={c}{form}" for c in cues), *(f"cue={c}n={size}" for c in cues)]
 
 
-def cue_kinds(before: str) -> frozenset[str]:
-    words = {w.strip(".,:;()").lower() for w in before.split()[-3:]}
+_CUE_SIZE = max(len(w) for v in _CUES.values() for w in v) + 10
+
+
+def cue_kinds(before: tuple[str, ...]) -> frozenset[str]:
+    words = {w.strip(".,:;()").lower() for w in before if len(w) <= _CUE_SIZE}
     return frozenset(k for k, v in _CUES.items() if words & set(v))
 
 
+_FORMS = ("email", "at", "quad", "mixed", "plus", "digits")
+_SIZES = (3, 6, 7, 9, 10, 12, 15, 16, 19)
+_LEFT, _RIGHT = frozenset(" \t\n([<\"':=,;/|"), frozenset(" \t\n)]>\"':;,/|!?")
+_KIND = re.compile(r"([0-9]+)|([^\W\d_]+)|(\S)")
+_DOMAIN_PART = re.compile(r"[A-Za-z0-9.-]+")
+#: Tokens whose spans are scored together, and stretches whose result a worker remembers.
+CHUNK, REMEMBERED = 10_000, 20_000
+
+
+class _Tokens:
+    """The tokens of some stretches in a row, and sums over them from which features of any span follow."""
+
+    def __init__(self, units: list[str], seps: dict[str, int]) -> None:
+        self.units = units
+        a, b, kind, unit, char, left, right, first = [], [], [], [], [], [], [], []
+        gaps = []
+        for u, s in enumerate(units):
+            end, n = None, len(s)
+            for m in _KIND.finditer(s):
+                x, y = m.span()
+                k = m.lastindex
+                c = s[x] if k == 3 else ""
+                gaps.append("" if end is None or x == end else s[end:x])
+                a.append(x)
+                b.append(y)
+                kind.append(k)
+                unit.append(u)
+                char.append(c)
+                first.append(k < 3 or c.isalnum())
+                left.append(not x or s[x - 1] in _LEFT)
+                right.append(y == n or s[y] in _RIGHT or s[y] == "." and not s[y + 1 : y + 2].strip())
+                end = y
+        self.a, self.b, self.unit = np.array(a, np.int64), np.array(b, np.int64), np.array(unit)
+        kind, self.alnum = np.array(kind, np.int8), np.array(first, bool)
+        self.char, self.left, self.right = char, np.array(left, bool), np.array(right, bool)
+        one = lambda c: np.array([x == c for x in char], bool)
+        plus, at, dot = one("+"), one("@"), one(".")
+        self.plus, self.begins = plus, self.alnum | plus | one("(")
+        self.ats = np.flatnonzero(at)
+        gap = np.array([len(g) for g in gaps])
+        # a span may not cross from one part to the next
+        self.part = np.cumsum(np.r_[0, (self.unit[1:] != self.unit[:-1]) | (gap[1:] > 1)])
+        total = lambda x: np.r_[0, np.cumsum(x)]
+        digit = kind == 1
+        size = np.where(digit, self.b - self.a, 0)
+        self.anchors, self.n_at, self.n_dot = total(digit | at), total(at), total(dot)
+        letters = kind == 2
+        for i in np.flatnonzero(letters):  # numerals other than digits are no letters
+            t = units[unit[i]][a[i] : b[i]]
+            letters[i] = t.isascii() or any(map(str.isalpha, t))
+        self.n_letters, self.n_other, self.n_gap = total(letters), total(~self.alnum), total(gap == 1)
+        self.n_digits, self.n_groups, self.n_four = total(size), total(digit), total(size * digit == 4)
+        self.groups = np.r_[size[digit], 0, 0, 0, 0, 0]
+        value = np.array([int(c) for i in np.flatnonzero(digit) for c in units[unit[i]][a[i] : b[i]]], np.int64)
+        double = np.where(value > 4, 2 * value - 9, 2 * value)
+        even = np.arange(len(value)) % 2 == 0
+        self.luhn = total(np.where(even, value, double)), total(np.where(even, double, value))
+        # one row for each separator that the field knows, and a last one for all others; a gap's separator stands before its token
+        rows = len(seps) + 1
+        inside, before = np.zeros((rows, len(a)), np.int32), np.zeros((rows, len(a)), np.int32)
+        for i, (c, g) in enumerate(zip(char, gaps, strict=True)):
+            if c and c != "+" and not c.isalnum():
+                inside[seps.get(c, rows - 1), i] = 1
+            if len(g) == 1:
+                before[seps.get(g, rows - 1), i] = 1
+        zero = np.zeros((rows, 1), np.int32)
+        self.inside, self.before = np.hstack([zero, inside.cumsum(1)]), np.hstack([zero, before.cumsum(1)])
+
+    def email_forms(self) -> set[tuple[int, int]]:
+        """(first token, last token + 1) of all spans that are an address as a whole, of at most MOST_TOKENS tokens."""
+        out = set()
+        for m in self.ats.tolist():
+            s, low, high = self.units[self.unit[m]], m, m
+            while low > 0 and m - low < MOST_TOKENS and self.unit[low - 1] == self.unit[m] and self.b[low - 1] == self.a[low] and (self.char[low - 1] in "._%+-" if self.char[low - 1] else s[self.a[low - 1] : self.b[low - 1]].isascii()):
+                low -= 1
+            most = low + MOST_TOKENS if low < m else 0
+            while high + 1 < len(self.a) and high - m < MOST_TOKENS and self.unit[high + 1] == self.unit[m] and self.b[high] == self.a[high + 1] and _DOMAIN_PART.fullmatch(s, self.a[high + 1], self.b[high + 1]):
+                high += 1
+            ends = [j + 1 for j in range(m + 1, high + 1) if most and DOMAIN.fullmatch(s, self.a[m] + 1, self.b[j])]
+            out |= {(i, j) for i in range(low, m) for j in ends if j - i <= MOST_TOKENS}
+        return out
+
+
 class SemiField:
     """Scores of the kinds for a span: weights by feature and kind. None scores 0."""
 
     def __init__(self, index: dict[str, int], weights: np.ndarray) -> None:
-        self.index, self.weights = index, weights
-        self.spans_of = lru_cache(20_000)(self._spans)
+        self.index, self.weights, self.known = index, weights, {}
+        of = lambda name: weights[index[name]] if name in index else np.zeros(len(KINDS))
+        self.form = np.array([[[[of("bias") + of(f"form={f}") + of(f"left={x:d}") + of(f"right={y:d}") + of(f"bound={x and y:d}{f}") + of(f"tail={z:d}") for z in (0, 1)] for y in (0, 1)] for x in (0, 1)] for f in _FORMS])
+        sizes = [*range(len(_SIZES) + 1)]
+        self.size = np.array([[[of(f"{f}n={n}") + of(f"luhn={x:d}n={n}") for x in (0, 1)] for n in sizes] for f in _FORMS[4:]])
+        self.grouped = np.array([[[[of(f"groups={g}{f}") + of(f"even={x:d}") + of(f"local={y:d}") for y in (0, 1)] for x in (0, 1)] for g in range(7)] for f in _FORMS[4:]])
+        self.octets = np.array([of(f"octets={x:d}") for x in (0, 1)])
+        self.cue_quad = {c: of(f"cue={c}") for c in KINDS}
+        self.cue_form = {c: np.array([of(f"cue={c}{f}") for f in _FORMS]) for c in KINDS}
+        self.cue_size = {c: np.array([of(f"cue={c}n={n}") for n in sizes]) for c in KINDS}
+        sets = [f.removeprefix("seps=") for f in index if f.startswith("seps=") and f != "seps=many"]
+        self.seps = {c: i for i, c in enumerate(sorted(set("".join(sets))))}
+        self.sep_sets, self.many = {sum(1 << self.seps[c] for c in x): of(f"seps={x}") for x in sets}, of("seps=many")
 
     def __reduce__(self):
         return SemiField, (self.index, self.weights)
 
-    def _spans(self, stretch: str, cues: frozenset[str]) -> tuple[tuple[int, int, int], ...]:
-        at = tokens(stretch)
-        ending: dict[int, list[tuple[int, float, int]]] = {}
-        for i, j in candidates(stretch, at):
-            score = self.weights[[k for f in span_features(stretch, at[i][0], at[j - 1][1], cues) if (k := self.index.get(f)) is not None]].sum(0)
-            kind = int(score.argmax())
-            if score[kind] > 0:  # below, single tokens of none are better
-                ending.setdefault(j, []).append((i, float(score[kind]), kind))
-        best, back = [0.0] * (len(at) + 1), [None] * (len(at) + 1)
-        for j in range(1, len(at) + 1):
-            best[j] = best[j - 1]
-            for i, s, kind in ending.get(j, ()):
-                if best[i] + s > best[j]:
-                    best[j], back[j] = best[i] + s, (i, kind)
-        out, j = [], len(at)
-        while j:
-            if back[j]:
-                i, kind = back[j]
-                out.append((kind, at[i][0], at[j - 1][1]))
-                j = i
-            else:
-                j -= 1
-        return tuple(reversed(out))
+    def _separators(self, t: _Tokens, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The weights of the set of separators in each span."""
+        has = np.array([(t.inside[r][j] > t.inside[r][i]) | (t.before[r][j] > t.before[r][i + 1]) for r in range(len(self.seps) + 1)])
+        mask = (has[:-1] * (1 << np.arange(len(self.seps), dtype=np.int64))[:, None]).sum(0)
+        values, which = np.unique(mask, return_inverse=True)
+        out = np.array([self.many if int(v).bit_count() > 3 else self.sep_sets.get(int(v), np.zeros(len(KINDS))) for v in values]).reshape(-1, len(KINDS))[which]
+        for k in np.flatnonzero(has[-1]):  # separators that the field does not know: only how many there are matters
+            s = t.units[t.unit[i[k]]][t.a[i[k]] : t.b[j[k] - 1]]
+            out[k] = self.many if len({c for c in s if not c.isalnum()} - {"+"}) > 3 else 0
+        return out
+
+    def scored(self, t: _Tokens, cues: list[frozenset[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First token, last token + 1, score and kind of the candidates that score above none."""
+        email, found = t.email_forms(), []
+        starts = np.flatnonzero(t.begins)
+        for at in range(0, len(starts), CHUNK):
+            i = np.repeat(starts[at : at + CHUNK], MOST_TOKENS)
+            j = i + np.tile(np.arange(1, MOST_TOKENS + 1), len(i) // MOST_TOKENS)
+            ok = j <= len(t.a)
+            i, j = i[ok], j[ok]
+            size = t.b[j - 1] - t.a[i]
+            ok = (t.part[j - 1] == t.part[i]) & (size <= MOST_CHARS) & t.alnum[j - 1] & (t.anchors[j] > t.anchors[i])
+            i, j, size = i[ok], j[ok], size[ok]
+            count = lambda x: x[j] - x[i]
+            letters = count(t.n_letters) > 0
+            other = count(t.n_other) + t.n_gap[j] - t.n_gap[i + 1]
+            form = np.where(letters, 3, np.where(t.plus[i], 4, 5))
+            form[(count(t.n_dot) == 3) & (other == 3) & ~letters] = 2
+            with_at = np.flatnonzero(count(t.n_at) > 0)
+            form[with_at] = [0 if (x, y) in email else 1 for x, y in zip(i[with_at].tolist(), j[with_at].tolist(), strict=True)]
+            score = self.form[form, t.left[i].astype(int), t.right[j - 1].astype(int), (size > 48).astype(int)]
+            n = count(t.n_digits)
+            bucket = np.searchsorted(_SIZES, n)
+            d = np.flatnonzero(form >= 4)
+            if len(d):
+                p, q, kind, groups, first = t.n_digits[i[d]], t.n_digits[j[d]], form[d] - 4, count(t.n_groups)[d], t.n_groups[i[d]]
+                total = np.where(q % 2 == 1, t.luhn[0][q] - t.luhn[0][p], t.luhn[1][q] - t.luhn[1][p])
+                size_of = lambda k: t.groups[first + k]
+                even = (groups > 2) & (count(t.n_four)[d] == groups)
+                local = (groups == 3) & (size_of(0) == 3) & (size_of(1) == 3) & (size_of(2) == 4) | (groups == 2) & (size_of(0) == 3) & (size_of(1) == 4)
+                local |= (groups == 5) & (size_of(0) == 2) & (size_of(1) == 2) & (size_of(2) == 2) & (size_of(3) == 2) & (size_of(4) == 2)
+                score[d] += self.size[kind, bucket[d], ((n[d] >= 13) & (total % 10 == 0)).astype(int)]
+                score[d] += self.grouped[kind, np.minimum(6, groups), even.astype(int), local.astype(int)]
+                score[d] += self._separators(t, i[d], j[d])
+            for k in np.flatnonzero(form == 2):
+                s = t.units[t.unit[i[k]]][t.a[i[k]] : t.b[j[k] - 1]]
+                score[k] += self.octets[int(_is_address(s))]
+            for c in KINDS:
+                has = np.array([c in x for x in cues])[t.unit[i]]
+                if has.any():
+                    score[has & (form == 2)] += self.cue_quad[c]
+                    has &= form != 2
+                    score[has] += self.cue_form[c][form[has]] + self.cue_size[c][bucket[has]]
+            kind = score.argmax(1)
+            best = score[np.arange(len(i)), kind]
+            above = best > 0  # below, single tokens of none are better
+            found.append((i[above], j[above], best[above], kind[above]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 4
+
+    def decoded(self, units: list[tuple[str, frozenset[str]]]) -> list[tuple[tuple[int, int, int], ...]]:
+        """The spans (kind's number, start, end) of the best segmentation of each stretch with its cues."""
+        t = _Tokens([s for s, _ in units], self.seps)
+        out: list[list[tuple[int, int, int]]] = [[] for _ in units]
+        if not len(t.a):
+            return [()] * len(units)
+        i, j, score, kind = self.scored(t, [c for _, c in units])
+        # the best score up to each token's end; tokens without candidates that end there add nothing
+        order = np.argsort(j, kind="stable")
+        ends, best, back = [0], [0.0], [None]  # places where the best score rises
+        for x, y, v, k in zip(i[order].tolist(), j[order].tolist(), score[order].tolist(), kind[order].tolist(), strict=True):
+            s = best[bisect_right(ends, x) - 1] + v
+            if s > best[-1]:
+                if ends[-1] == y:
+                    best[-1], back[-1] = s, (x, k)
+                else:
+                    ends.append(y)
+                    best.append(s)
+                    back.append((x, k))
+        at = len(ends) - 1
+        while at > 0:
+            x, k = back[at]
+            y = ends[at]
+            out[t.unit[x]].append((k, int(t.a[x]), int(t.b[y - 1])))
+            at = bisect_right(ends, x) - 1
+        return [tuple(reversed(x)) for x in out]
+
+    def spans_of(self, stretch: str, cues: frozenset[str]) -> tuple[tuple[int, int, int], ...]:
+        return self.decoded([(stretch, cues)])[0]
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """(kind's number, start, end) of the best segmentation."""
-        return [(k, start + a, start + b) for start, s, before in stretches(text) for k, a, b in (self.spans_of(s, cue_kinds(before)) if len(s) < 200 else self._spans(s, cue_kinds(before)))]
+        return self.spans_of_all([text])[0]
+
+    def spans_of_all(self, every: list[str]) -> list[list[tuple[int, int, int]]]:
+        """(kind's number, start, end) of the best segmentation of each text."""
+        units = [[(start, (s, cue_kinds(before))) for start, s, before in stretches(t)] for t in every]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        now: dict = {}
+        todo, size = [], 0
+        for unit in dict.fromkeys(u for row in units for _, u in row if u not in self.known):
+            todo.append(unit)
+            size += len(unit[0])
+            if size > 4 * CHUNK:
+                now.update(zip(todo, self.decoded(todo), strict=True))
+                todo, size = [], 0
+        now.update(zip(todo, self.decoded(todo), strict=True))
+        self.known.update((u, x) for u, x in now.items() if len(u[0]) < 200)
+        return [[(k, start + a, start + b) for start, u in row for k, a, b in (now[u] if u in now else self.known[u])] for row in units]
 
 
 def generated_text(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
@@ -233,7 +423,7 @@ def trained() -> SemiField:
         for start, s, before in stretches(text):
             at, cues = tokens(s), cue_kinds(before)
             segs = candidates(s, at)
-            if len(at) > 60 or not segs:
+            if not segs:
                 continue
             rows = [[index.setdefault(f, len(index)) for f in span_features(s, at[i][0], at[j - 1][1], cues)] for i, j in segs]
             gold = [(n, k) for n, (i, j) in enumerate(segs) for k, a, b in spans if (start + at[i][0], start + at[j - 1][1]) == (a, b)]
@@ -277,14 +467,18 @@ def trained() -> SemiField:
     return SemiField(index, w[:pad])
 
 
-def scan(text: str, field: SemiField) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans; and all spans with the field's, as far as they do not overlap base ones. By kind, then start."""
+def scan(text: str, field: SemiField, found: list[tuple[int, int, int]] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans; and all spans with the field's (found), as far as they do not overlap base ones. By kind, then start."""
     base = base_spans(text)
-    found = field.spans(text)
+    found = field.spans(text) if found is None else found
     extra = [s for s, ok in zip(found, apart([s[1:] for s in found], [s[1:] for s in base]), strict=True) if ok]
     return base, sorted([*base, *extra])
 
 
+def scan_all(every: list[str], field: SemiField) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    return [scan(t, field, found) for t, found in zip(every, field.spans_of_all(every), strict=True)]
+
+
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     """The text with each span, or run of overlapping spans, replaced by its first kind in capitals and angle brackets."""
     out, at = [], 0
@@ -300,7 +494,7 @@ class _Scan:
         self.field = field
 
     def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [scan(t, self.field) for t in texts(batch)]
+        rows = scan_all(texts(batch), self.field)
         printed = [[",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in part) for part in row] for row in rows]
         counts = [pa.array([sum(s[0] == k for s in base) for base, _ in rows], pa.int64()) for k in range(4)]
         digest = pa.array([hashlib.sha256(base.encode()).hexdigest() for base, _ in printed])
@@ -312,7 +506,8 @@ class _Redact:
         self.field = field
 
     def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        new = [t if t is None else redacted(t, scan(t, self.field)[1]) for t in batch.column("text").to_pylist()]
+        found = scan_all(texts(batch), self.field)
+        new = [t if t is None else redacted(t, spans) for t, (_, spans) in zip(batch.column("text").to_pylist(), found, strict=True)]
         return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(new, pa.string()))
 
 
@@ -320,13 +515,17 @@ def pii_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of docs (columns doc_id, text; others are ignored).
 
     Null text is empty: counts 0, the digest of the empty string, no spans. spans lists kind:start:end in code points, by kind and
-    then start; the field's spans never overlap base ones. Repeated rows are judged alike.
+    then start; the field's spans never overlap base ones, and have at most MOST_TOKENS tokens and MOST_CHARS characters. Repeated rows are
+    judged alike. Texts are scanned whole, in time in proportion to their length. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), _Scan(trained()), "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with personal data in text replaced by its kind; null text stays null, other columns stay as they are."""
+    """docs with personal data in text replaced by its kind; null text stays null, other columns stay as they are.
+
+    What is replaced are the spans of pii_scan(), in texts of any length. Repeated rows are changed alike; an empty table gives an empty result.
+    """
     prepare(docs.sparkSession)
     return map_batches(docs, _Redact(trained()), docs.schema)
