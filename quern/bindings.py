@@ -70,6 +70,10 @@ class Tables:
             self.known[name] = self._made(name)
         return self.known[name]
 
+    def asked(self, sql: str) -> DataFrame:
+        """The rows of SQL with bindings in braces."""
+        return self.spark.sql(f"SELECT * FROM {sql}", **{x: getattr(self, x) for x in set(re.findall(r"\{(\w+)\}", sql))})
+
     def _made(self, name: str) -> DataFrame:
         if name in DRIVER_TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

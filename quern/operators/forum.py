@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.functions.urls import source_url
 
 #: Orders of feeds, threads and lists; each ends in a unique key.
 ORDERS = {
@@ -29,6 +30,12 @@ def visible(posts: DataFrame, communities: DataFrame, memberships: DataFrame, vi
     return rows.where(~F.col("is_private") | F.col("__own").isNotNull()).drop("is_private", "__own")
 
 
+def threads_of(posts: DataFrame, communities: DataFrame, memberships: DataFrame, url: str, viewer: int | None, order: str = "thread_top") -> DataFrame:
+    """The visible posts about one page, in order."""
+    wanted = source_url(F.lit(url))["source_url_hash"]
+    return ordered(visible(posts.where(source_url(F.col("url"))["source_url_hash"] == wanted), communities, memberships, viewer), order)
+
+
 def may_view(communities: DataFrame, memberships: DataFrame, viewer: int) -> DataFrame:
     """community_id, may_view."""
     own = memberships.where(F.col("user_id") == viewer).select("community_id").distinct().withColumn("__own", F.lit(True))
@@ -89,30 +96,53 @@ def community_counters(communities: DataFrame, memberships: DataFrame, posts: Da
     return communities.select("community_id").join(m, "community_id", "left").join(p, "community_id", "left").select("community_id", F.coalesce("members", F.lit(0)).alias("members"), F.coalesce("posts", F.lit(0)).alias("posts"), "last_posted_at")
 
 
+#: Parts into which the rows of one title are divided to number them.
+KEY_PARTS = 64
+
+
+def _positions(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """Adds __r: each row's place by key, a number, within by. Counts of KEY_PARTS ranges of the key say where a range begins, so that a common value of by is no one task."""
+    cuts = sorted(set(rows.select(key).approxQuantile(key, [i / KEY_PARTS for i in range(1, KEY_PARTS)], 0.5 / KEY_PARTS)))
+    part = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    rows = rows.withColumn("__part", part)
+    w = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # at most KEY_PARTS rows
+    begins = rows.groupBy(*by, "__part").agg(F.count("*").alias("__n")).withColumn("__begin", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
+    own = Window.partitionBy(*by, "__part").orderBy(key)
+    return rows.withColumn("__r", F.row_number().over(own)).join(begins, [*by, "__part"]).withColumn("__r", F.col("__r") + F.col("__begin")).drop("__part", "__begin")
+
+
 def slugged(rows: DataFrame, key: str, title: str, scope: list[str], default: str, taken: DataFrame | None = None) -> DataFrame:
-    """Adds slug: the title's slug, unique within the scope by -2, -3 ... in order of key.
+    """Adds slug: the title's slug, unique within the scope by -2, -3 ... in order of key, a number.
 
-    taken (scope, slug): slugs in use. A batch's own titles can equal a numbered slug (foo-2); so numbers are given again to what collides until nothing does.
+    taken (scope, slug): slugs in use. The plain slug of a title goes to its first row unless it is taken; a number is left out where the
+    slug that it would make is taken or the plain slug of another title (foo-2). The columns of scope are not null.
     """
-    base = T.slug(F.col(title), default)
-    rows = rows.withColumn("__base", base).withColumn("slug", F.lit(None).cast("string")).withColumn("__n", F.lit(0).cast("bigint"))
-    used = None if taken is None else taken.select(*scope, F.col("slug").alias("__slug"))
-    first = Window.partitionBy(*scope, "__base").orderBy(key)
-    rows = rows.withColumn("__n", F.row_number().over(first).cast("bigint"))
-    for _ in range(20):
-        name = F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat_ws("-", "__base", F.col("__n").cast("string")))
-        rows = rows.withColumn("slug", name)
-        w = Window.partitionBy(*scope, "slug").orderBy(F.col("__base") != F.col("slug"), key)
-        marked = rows.withColumn("__again", F.row_number().over(w) > 1)
-        if used is not None:
-            marked = marked.join(used, [*(marked[c].eqNullSafe(used[c]) for c in scope), marked["slug"] == used["__slug"]], "left").select(*(marked[c] for c in marked.columns if c != "__again"), (F.col("__again") | F.col("__slug").isNotNull()).alias("__again"))
-        if not marked.where("__again").limit(1).count():
-            return rows.drop("__base", "__n")
-        # all of a base from the colliding number on move up by one
-        low = Window.partitionBy(*scope, "__base")
-        marked = marked.withColumn("__from", F.min(F.when(F.col("__again"), F.col("__n"))).over(low))
-        rows = marked.withColumn("__n", F.col("__n") + F.when(F.col("__n") >= F.col("__from"), 1).otherwise(0)).drop("__again", "__from")
-    raise RuntimeError("slugs still collide")
+    by = [*scope, "__base"]
+    rows = rows.withColumn("__base", T.slug(F.col(title), default))
+    first = rows.groupBy(*by).agg(F.min(key).alias("__first"))
+    used = first.select(*scope, F.col("__base").alias("__used"))
+    held = None
+    if taken is not None:
+        held = taken.select(*scope, F.col("slug").alias("__used")).distinct()
+        first = first.join(held.withColumnRenamed("__used", "__base").withColumn("__held", F.lit(True)), by, "left")
+        used = used.unionByName(held)
+    else:
+        first = first.withColumn("__held", F.lit(None).cast("boolean"))
+    rows = rows.join(first, by)
+    plain = (F.col(key) == F.col("__first")) & F.col("__held").isNull()
+    rest = _positions(rows.where(~plain), key, by)
+    # numbers that are left out: before the i-th of them, n - 2 - i are free; equal ones make one step
+    numbers = used.select(*scope, F.regexp_extract("__used", "^(.*)-[1-9][0-9]{0,8}$", 1).alias("__base"), F.regexp_extract("__used", "-([1-9][0-9]{0,8})$", 1).alias("__text"))
+    numbers = numbers.where("__text <> ''").withColumn("__no", F.col("__text").cast("bigint")).where("__no > 1").select(*by, "__no").distinct().join(first.select(*by), by, "left_semi")
+    free = numbers.withColumn("__free", F.col("__no") - 1 - F.row_number().over(Window.partitionBy(*by).orderBy("__no"))).groupBy(*by, "__free").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*by).orderBy("__free")
+    steps = free.withColumn("__skip", F.sum("__n").over(w)).withColumn("__until", F.lead("__free").over(w)).drop("__n")
+    steps = steps.select(*(F.col(c).alias(f"__s_{c}") for c in by), "__free", "__until", "__skip")
+    same = [F.col(c) == F.col(f"__s_{c}") for c in by]
+    rest = rest.join(steps, [*same, F.col("__r") > F.col("__free"), F.col("__until").isNull() | (F.col("__r") <= F.col("__until"))], "left")
+    rest = rest.withColumn("slug", F.concat_ws("-", "__base", (F.col("__r") + 1 + F.coalesce("__skip", F.lit(0))).cast("string")))
+    own = [c for c in rows.columns if c not in ("__base", "__first", "__held", "slug")]
+    return rows.where(plain).withColumn("slug", F.col("__base")).select(*own, "slug").unionByName(rest.select(*own, "slug"))
 
 
 def write_gate(locked: Column, removed: Column) -> Column:
@@ -126,12 +156,13 @@ def moderation_state(actions: DataFrame) -> DataFrame:
 
 
 def audit(actions: DataFrame) -> DataFrame:
-    """Each action with the target's state before and after it."""
-    w = Window.partitionBy("target_type", "target_id").orderBy("ts", "action_id")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    had = lambda kind, frame: F.coalesce(F.max((F.col("action") == kind).cast("int")).over(frame), F.lit(0)) == 1
-    now = w.rowsBetween(Window.unboundedPreceding, 0)
-    return actions.select("action_id", "action", had("remove", before).alias("was_removed"), had("lock", before).alias("was_locked"), had("remove", now).alias("is_removed"), had("lock", now).alias("is_locked"))
+    """Each action with the target's state before and after it. A state begins with the first action of its kind, so a target's actions need no order."""
+    at = F.struct("ts", "action_id")
+    begin = lambda kind: F.min(F.when(F.col("action") == kind, at))
+    first = actions.groupBy("target_type", "target_id").agg(begin("remove").alias("__removed"), begin("lock").alias("__locked"))
+    rows = actions.join(first, ["target_type", "target_id"])
+    since = lambda c, now: F.coalesce(F.col(c) <= at if now else F.col(c) < at, F.lit(False))
+    return rows.select("action_id", "action", since("__removed", False).alias("was_removed"), since("__locked", False).alias("was_locked"), since("__removed", True).alias("is_removed"), since("__locked", True).alias("is_locked"))
 
 
 def resolved_reports(reports: DataFrame, actions: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from quern.operators.ranking import page_rank, saved, tf_idf
 
 
 def build(pages: DataFrame, lang: DataFrame | None = None) -> dict[str, DataFrame]:
-    """words, metadata, outlinks, backlinks, pagerank of pages (page_id, url, html).
+    """words, metadata, edges (src, dst: a page's outlinks and, seen from dst, backlinks), pagerank of pages (page_id, url, html).
 
     lang (page_id, lang): where given, only English pages are indexed and become nodes. Pages are parsed once; a page without words is not
     indexed, one without links is no node.
@@ -24,7 +24,7 @@ def build(pages: DataFrame, lang: DataFrame | None = None) -> dict[str, DataFram
     edges = saved(I.page_edges(I.link_targets(parsed)), "edges")
     nodes = edges.select(F.col("src").alias("node")).distinct()
     metadata = fields.join(words.select("url").distinct(), "url", "left_semi").select("url", "title", "description", "summary_text")
-    return {"words": tf_idf(words, metadata), "metadata": metadata, "outlinks": edges.groupBy("src").agg(F.collect_set("dst").alias("links")), "backlinks": edges.groupBy("dst").agg(F.collect_set("src").alias("links")), "pagerank": page_rank(edges, nodes)}
+    return {"words": tf_idf(words, metadata), "metadata": metadata, "edges": edges, "pagerank": page_rank(edges, nodes)}
 
 
 def publish(words: DataFrame, folder: str, files: int | None = None) -> None:

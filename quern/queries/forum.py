@@ -9,6 +9,7 @@ from quern.bindings import Tables
 from quern.operators import forum as C
 from quern.operators import ranking as R
 from quern.operators import search as S
+from quern.operators import writes as N
 from quern.queries.registry import query
 from quern.sources import tables as W
 
@@ -39,8 +40,22 @@ def _feed(order: str, sql_order: str, name: str, source: str = _VISIBLE):
 _feed("new", "published_at DESC, post_id DESC", "SO4")
 _feed("top", "score DESC, comment_count DESC, published_at DESC, post_id DESC", "SO5")
 _feed("hot", "score * 2 + comment_count DESC, published_at DESC, post_id DESC", "SO6")
-_feed("thread_top", "upvote_count DESC, score DESC, comment_count DESC, published_at DESC, post_id DESC", "SO7")
-_feed("new", "published_at DESC, post_id DESC", "SO8")
+
+
+def _threads(order: str, sql_order: str, name: str):
+    @query(name, f"SELECT post_id, row_number() OVER (ORDER BY {sql_order})::INT AS place FROM (SELECT * FROM {_VISIBLE} WHERE url = 'https://example.org/p/7' ORDER BY {sql_order} LIMIT 20)")
+    def run(t: Tables) -> DataFrame:
+        from pyspark.sql import Window
+
+        cut = C.threads_of(t.posts, t.communities, t.memberships, "HTTPS://Example.org:443/p/7#top", VIEWER, order).limit(20)
+        keys = [F.expr(x.removesuffix(" desc")).desc() if x.endswith(" desc") else F.expr(x) for x in C.ORDERS[order]]
+        return cut.select("post_id", F.row_number().over(Window.orderBy(*keys)).alias("place"))  # 20 rows
+
+    return run
+
+
+_threads("thread_top", "upvote_count DESC, score DESC, comment_count DESC, published_at DESC, post_id DESC", "SO7")
+_threads("new", "published_at DESC, post_id DESC", "SO8")
 
 
 @query("SO9", "SELECT slug, row_number() OVER (ORDER BY member_count DESC, created_at DESC, community_id)::INT AS place FROM {communities} WHERE NOT is_private")
@@ -184,14 +199,14 @@ def ag22(t: Tables) -> DataFrame:
 _SLUG = "trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
-@query("WN3", f"SELECT post_id, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM (SELECT post_id, {_SLUG} AS base, row_number() OVER (PARTITION BY community_id, {_SLUG} ORDER BY post_id) AS n FROM {{posts}} WHERE title LIKE '%9!')")
+@query("WN3", f"SELECT post_id, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM (SELECT post_id, {_SLUG} AS base, row_number() OVER (PARTITION BY community_id, {_SLUG} ORDER BY post_id) AS n FROM {{posts}})")
 def wn3(t: Tables) -> DataFrame:
-    return C.slugged(t.posts.where("title like '%9!'"), "post_id", "title", ["community_id"], "post").select("post_id", "slug")
+    return C.slugged(t.posts, "post_id", "title", ["community_id"], "post").select("post_id", "slug")
 
 
-@query("WN5", f"SELECT user_id, target_type, target_id, value FROM {_LAST} WHERE target_type = 'post'")
+@query("WN5", f"SELECT user_id, target_type, target_id, value FROM {_LAST}")
 def wn5(t: Tables) -> DataFrame:
-    return C.last_votes(t.votes.where("target_type = 'post'"))
+    return C.last_votes(t.votes)
 
 
 @query("WN6", "SELECT date_trunc('minute', ts) AS start, user_id, count(*) AS requests, count(*) > 1 AS is_over FROM {events} GROUP BY 1, 2")
@@ -244,9 +259,50 @@ def ap11(t: Tables) -> DataFrame:
     return C.ordered(_visible(t), "hot").offset(20).limit(20).select("post_id")
 
 
-@query("AP12", "SELECT c.community_id, coalesce(m.n, 0) AS members, coalesce(p.n, 0) AS posts FROM {communities} c LEFT JOIN (SELECT community_id, count(*) AS n FROM {memberships} GROUP BY 1) m USING (community_id) LEFT JOIN (SELECT community_id, count(*) AS n FROM {posts} GROUP BY 1) p USING (community_id)")
+_CLUBS = "(SELECT c_custkey AS request_id, c_custkey AS user_id, CASE WHEN c_custkey % 10 = 0 THEN (SELECT min(n_name) FROM {nation}) WHEN c_custkey % 50 = 7 THEN ' ' ELSE concat(c_mktsegment, repeat('!', CAST(c_custkey % 4 AS INT))) END AS name FROM {customer})"
+
+
+@query("AP12", f"""SELECT request_id, CASE WHEN reason IS NULL THEN 201 ELSE 422 END::INT AS status, reason, CASE WHEN reason IS NULL THEN base || CASE WHEN n > 1 THEN '-' || n ELSE '' END END AS slug, CASE WHEN reason IS NULL THEN 'owner' END AS role, CASE WHEN reason IS NULL THEN 1::BIGINT END AS member_count
+    FROM (SELECT *, row_number() OVER (PARTITION BY base, reason IS NULL ORDER BY request_id) AS n FROM (SELECT request_id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS base,
+    CASE WHEN trim(name) = '' THEN 'name_required' WHEN name IN (SELECT name FROM {{communities}}) OR row_number() OVER (PARTITION BY name ORDER BY request_id) > 1 THEN 'name_taken' END AS reason FROM {_CLUBS}))""")
 def ap12(t: Tables) -> DataFrame:
-    return C.community_counters(t.communities, t.memberships, t.posts).drop("last_posted_at")
+    return N.create_communities(t.asked(_CLUBS), t.communities)
+
+
+_DRAFTS = "(SELECT o.o_orderkey AS request_id, o.o_custkey AS user_id, CASE WHEN o.o_orderkey % 31 = 0 THEN 'nowhere' ELSE lower(n.n_name) END AS community_slug, CASE WHEN o.o_orderkey % 37 = 0 THEN '' ELSE concat('Order ', o.o_orderkey % 5, '?') END AS title, CAST('' AS STRING) AS body, 'link' AS content_type, concat('HTTPS://Example.org:443/p/', o.o_orderkey % 500, '#x') AS url FROM {orders} o JOIN {nation} n ON n.n_nationkey = o.o_orderkey % 25)"
+
+
+@query("AP12_posts", f"""SELECT request_id, status, CASE WHEN status = 201 THEN base || CASE WHEN n > 1 THEN '-' || n ELSE '' END END AS slug, CASE WHEN status = 201 THEN 'https://example.org/p/' || request_id % 500 END AS source_url
+    FROM (SELECT *, row_number() OVER (PARTITION BY community_id, base, status ORDER BY request_id) AS n FROM (SELECT d.request_id, c.community_id, trim(regexp_replace(lower(d.title), '[^a-z0-9]+', '-', 'g'), '-') AS base,
+    CASE WHEN c.community_id IS NULL THEN 404 WHEN c.is_private AND NOT EXISTS (SELECT 1 FROM {{memberships}} m WHERE m.community_id = c.community_id AND m.user_id = d.user_id) THEN 403 WHEN d.title = '' THEN 422 ELSE 201 END::INT AS status FROM {_DRAFTS} d LEFT JOIN {{communities}} c ON c.slug = d.community_slug))""")
+def ap12_posts(t: Tables) -> DataFrame:
+    return N.create_posts(t.asked(_DRAFTS), t.communities, t.memberships).select("request_id", "status", "slug", "source_url")
+
+
+_REPLIES = "(SELECT event_id AS request_id, user_id, event_id % 110 AS post_id, CASE WHEN event_id % 3 > 0 THEN (event_id % 110 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) * 100 + event_id % 9 END AS parent_id, CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 17 = 0 THEN repeat('x', 10001) ELSE 'reply' END AS body FROM {events})"
+
+
+@query("AP12_comments", _TREE + f""", s AS (SELECT q.request_id, w.depth AS parent_depth, CASE WHEN p.post_id IS NULL THEN 404 WHEN c.is_private AND NOT EXISTS (SELECT 1 FROM {{memberships}} m WHERE m.community_id = c.community_id AND m.user_id = q.user_id) THEN 403
+    WHEN p.is_locked THEN 423 WHEN p.is_removed THEN 403 WHEN length(q.body) = 0 OR length(q.body) > 10000 THEN 422 WHEN q.parent_id IS NOT NULL AND w.post_id IS NULL THEN 404 WHEN w.post_id <> q.post_id OR w.depth + 1 > 8 THEN 422 ELSE 201 END::INT AS status
+    FROM {_REPLIES} q LEFT JOIN {{posts}} p ON p.post_id = q.post_id LEFT JOIN {{communities}} c ON c.community_id = p.community_id LEFT JOIN w ON w.comment_id = q.parent_id) SELECT request_id, status, CASE WHEN status = 201 THEN coalesce(parent_depth + 1, 0)::INT END AS depth FROM s""")
+def ap12_comments(t: Tables) -> DataFrame:
+    return N.add_comments(t.asked(_REPLIES), t.posts, t.communities, t.memberships, C.comment_paths(t.comments))
+
+
+_BALLOTS = "(SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN 'comment' WHEN event_id % 41 = 0 THEN 'page' ELSE 'post' END AS target_type, CASE WHEN event_id % 3 = 0 THEN event_id % 90 * 100 + event_id % 4 ELSE event_id % 200 END AS target_id, CASE WHEN event_id % 11 = 0 THEN 0 WHEN event_type = 'error' THEN -1 ELSE 1 END AS value, ts FROM {events})"
+_TARGET_OF = "(SELECT 'post' AS target_type, post_id AS target_id, community_id, is_locked, is_removed FROM {posts} UNION ALL SELECT 'comment', m.comment_id, p.community_id, p.is_locked, p.is_removed FROM {comments} m JOIN {posts} p USING (post_id))"
+_JUDGED = f"""(SELECT b.*, CASE WHEN b.target_type = 'page' OR b.target_id < 1 OR b.value = 0 THEN 422 WHEN g.community_id IS NULL THEN 404 WHEN c.is_private AND NOT EXISTS (SELECT 1 FROM {{memberships}} m WHERE m.community_id = c.community_id AND m.user_id = b.user_id) THEN 403
+    WHEN g.is_locked OR g.is_removed THEN 423 ELSE 200 END::INT AS status FROM {_BALLOTS} b LEFT JOIN {_TARGET_OF} g USING (target_type, target_id) LEFT JOIN {{communities}} c ON c.community_id = g.community_id)"""
+
+
+@query("AP12_votes", f"SELECT event_id, status FROM {_JUDGED}")
+def ap12_votes(t: Tables) -> DataFrame:
+    return N.cast_votes(t.asked(_BALLOTS), t.posts, t.comments, t.communities, t.memberships).select("event_id", "status")
+
+
+@query("AP12_totals", f"SELECT target_type, target_id, count(*) FILTER (value = 1) AS upvotes, count(*) FILTER (value = -1) AS downvotes, count(*) FILTER (value = 1) - count(*) FILTER (value = -1) AS score FROM (SELECT user_id, target_type, target_id, arg_max(value, (ts, event_id)) AS value FROM {_JUDGED} WHERE status = 200 GROUP BY ALL) GROUP BY ALL")
+def ap12_totals(t: Tables) -> DataFrame:
+    return N.votes_after(N.cast_votes(t.asked(_BALLOTS), t.posts, t.comments, t.communities, t.memberships))
 
 
 @query("AP13", "SELECT action_id, action, coalesce(bool_or(action = 'remove') OVER b, false) AS was_removed, coalesce(bool_or(action = 'lock') OVER b, false) AS was_locked, bool_or(action = 'remove') OVER n AS is_removed, bool_or(action = 'lock') OVER n AS is_locked FROM {actions} WINDOW b AS (PARTITION BY target_type, target_id ORDER BY ts, action_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n AS (PARTITION BY target_type, target_id ORDER BY ts, action_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
@@ -290,6 +346,24 @@ def ap18(t: Tables) -> DataFrame:
     return C.rejected_posts(drafts).select("doc_id", "reason")
 
 
+@query("AP18_votes", f"SELECT event_id, CASE WHEN target_type = 'page' THEN 'target_type' WHEN target_id < 1 THEN 'target_id' WHEN value = 0 THEN 'value' END AS reason FROM {_BALLOTS}")
+def ap18_votes(t: Tables) -> DataFrame:
+    return N.rejected(t.asked(_BALLOTS), "vote").select("event_id", "reason")
+
+
+@query("AP18_comments", f"SELECT request_id, CASE WHEN length(body) = 0 THEN 'body_required' WHEN length(body) > 10000 THEN 'body_too_long' END AS reason FROM {_REPLIES}")
+def ap18_comments(t: Tables) -> DataFrame:
+    return N.rejected(t.asked(_REPLIES), "comment").select("request_id", "reason")
+
+
+_COMPLAINTS = "(SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'user' WHEN 1 THEN 'post' ELSE 'comment' END AS target_type, event_id % 5 AS target_id, CASE WHEN event_id % 7 = 0 THEN '  ' ELSE repeat('r', CAST(event_id % 210 AS INT)) END AS why, repeat('d', CAST(event_id % 10003 AS INT)) AS details FROM {events})"
+
+
+@query("AP18_reports", f"SELECT event_id, CASE WHEN target_type = 'user' THEN 'target_type' WHEN target_id < 1 THEN 'target_id' WHEN length(trim(why)) = 0 THEN 'reason_required' WHEN length(why) > 200 THEN 'reason_too_long' WHEN length(details) > 10000 THEN 'details_too_long' END AS reason FROM {_COMPLAINTS}")
+def ap18_reports(t: Tables) -> DataFrame:
+    return N.rejected(t.asked(_COMPLAINTS), "report").select("event_id", "reason")
+
+
 @query("AP20", "SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, floor(value * 10)::BIGINT AS duration_ms FROM {events}")
 def ap20(t: Tables) -> DataFrame:
     return t.events.select("event_id", "user_id", F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), F.floor(F.col("value") * 10).alias("duration_ms"))
@@ -312,10 +386,17 @@ def ap24(t: Tables) -> DataFrame:
     return t.posts.select("post_id", source_url(F.col("url")).alias("s")).select("post_id", "s.*")
 
 
-@query("AP25", "SELECT community_id, slug FROM {communities}")
+@query("AP25", "SELECT 'community' AS kind, slug AS name, NULL::VARCHAR AS role FROM {communities} UNION ALL SELECT 'user', name, NULL FROM {users} UNION ALL SELECT 'membership', community_id || '/' || user_id, role FROM {memberships}")
 def ap25(t: Tables) -> DataFrame:
-    half = t.communities.where("community_id % 2 = 0").select("community_id", "slug")
-    return W.inserted_if_absent(half, t.communities.select("community_id", "slug"), ["community_id"])
+    # half of each kind is there already; the seeder runs twice and adds nothing the second time
+    def seeded(rows: DataFrame, keys: list[str], there) -> DataFrame:
+        return W.inserted_if_absent(W.inserted_if_absent(rows.where(there), rows, keys), rows, keys)
+
+    none = F.lit(None).cast("string").alias("role")
+    com = seeded(t.communities.select("community_id", "slug"), ["community_id"], "community_id % 2 = 0").select(F.lit("community").alias("kind"), F.col("slug").alias("name"), none)
+    users = seeded(t.users, ["user_id"], "user_id % 3 = 0").select(F.lit("user").alias("kind"), "name", none)
+    members = seeded(t.memberships, ["community_id", "user_id"], "user_id % 5 = 0").select(F.lit("membership").alias("kind"), F.concat_ws("/", "community_id", "user_id").alias("name"), "role")
+    return com.unionByName(users).unionByName(members)
 
 
 @query("ST8", "SELECT action_id, actor_id, action FROM {actions}")

@@ -27,3 +27,14 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def all_sql() -> dict[str, str]:
     return {name: inlined(sql) for name, (_, sql) in QUERIES.items() if sql}
+
+
+#: The nodes of the link graph, for SQL.
+NODES = "(SELECT src AS node FROM {edges} UNION SELECT dst FROM {edges})"
+
+
+def rank_sql(rounds: int = 10) -> str:
+    """SQL of PageRank: tables r0 to the last round's."""
+    steps = [f"ed AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM {{edges}}), nodes AS MATERIALIZED (SELECT node FROM {NODES}), r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)"]
+    steps += [f"r{i} AS MATERIALIZED (SELECT n.node, (1 - 0.85::DOUBLE) / (SELECT count(*) FROM nodes) + 0.85::DOUBLE * coalesce(g.given, 0) AS rank FROM nodes n LEFT JOIN (SELECT dst, sum(rank / degree) AS given FROM ed JOIN r{i - 1} ON node = src GROUP BY dst) g ON g.dst = n.node)" for i in range(1, rounds + 1)]
+    return "WITH " + ", ".join(steps)

@@ -10,17 +10,10 @@ from quern.functions import text as T
 from quern.operators import indexing as I
 from quern.operators import ranking as R
 from quern.operators import search as S
-from quern.queries.registry import query
+from quern.queries.registry import NODES, query, rank_sql
 
 Q = "The of thestth and+er ER onst haed"
 TERMS = "('of', 'the', 'thestth', 'and', 'er', 'onst', 'haed')"
-NODES = "(SELECT src AS node FROM {edges} UNION SELECT dst FROM {edges})"
-
-
-def _rank_sql(rounds: int = 10) -> str:
-    steps = [f"ed AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM {{edges}}), nodes AS MATERIALIZED (SELECT node FROM {NODES}), r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)"]
-    steps += [f"r{i} AS MATERIALIZED (SELECT n.node, (1 - 0.85::DOUBLE) / (SELECT count(*) FROM nodes) + 0.85::DOUBLE * coalesce(g.given, 0) AS rank FROM nodes n LEFT JOIN (SELECT dst, sum(rank / degree) AS given FROM ed JOIN r{i - 1} ON node = src GROUP BY dst) g ON g.dst = n.node)" for i in range(1, rounds + 1)]
-    return "WITH " + ", ".join(steps)
 
 
 def _ranked(t: Tables) -> DataFrame:
@@ -37,7 +30,7 @@ _HITS = f"(SELECT url, sum(weight) AS cum_weight, count(*) AS match_count FROM {
 _PAGE = f"(SELECT * FROM {_HITS} ORDER BY match_count DESC, round(cum_weight, 8) DESC, url LIMIT 20)"
 
 
-@query("search", _rank_sql() + f" SELECT h.url, h.match_count, round(h.cum_weight, 6) AS cum_weight, round(coalesce(r.rank, 0), 9) AS rank, round(0.6 * h.cum_weight + 0.4 * coalesce(r.rank, 0), 6) AS combined, coalesce(m.title, '') AS title FROM {_PAGE} h LEFT JOIN r10 r ON 'doc/' || (r.node - 1) = h.url LEFT JOIN {{metadata}} m ON m.url = h.url")
+@query("search", rank_sql() + f" SELECT h.url, h.match_count, round(h.cum_weight, 6) AS cum_weight, round(coalesce(r.rank, 0), 9) AS rank, round(0.6 * h.cum_weight + 0.4 * coalesce(r.rank, 0), 6) AS combined, coalesce(m.title, '') AS title FROM {_PAGE} h LEFT JOIN r10 r ON 'doc/' || (r.node - 1) = h.url LEFT JOIN {{metadata}} m ON m.url = h.url")
 def search(t: Tables) -> DataFrame:
     out = S.search(t.weights, t.metadata, _doc_rank(t), Q)
     return out.select("url", "match_count", F.round("cum_weight", 6).alias("cum_weight"), F.round("rank", 9).alias("rank"), F.round("combined", 6).alias("combined"), "title")
@@ -145,19 +138,19 @@ def rk2(t: Tables) -> DataFrame:
     return t.weights.select("url", "word", "tf", F.round("weight", 6).alias("weight"))
 
 
-@query("RK3", _rank_sql() + " SELECT node, round(rank, 10) AS rank FROM r10")
+@query("RK3", rank_sql() + " SELECT node, round(rank, 10) AS rank FROM r10")
 def rk3(t: Tables) -> DataFrame:
     return _ranked(t).select("node", F.round("rank", 10).alias("rank"))
 
 
-@query("GR1", _rank_sql(3) + " SELECT node, round(rank, 10) AS rank FROM r3")
+@query("GR1", rank_sql(3) + " SELECT node, round(rank, 10) AS rank FROM r3")
 def gr1(t: Tables) -> DataFrame:
     e = t.edges
     nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
     return R.page_rank(e, nodes, 3).select("node", F.round("rank", 10).alias("rank"))
 
 
-@query("RK4", _rank_sql() + f" SELECT h.url, round(0.6 * h.cum_weight + 0.4 * coalesce(r.rank, 0), 6) AS combined FROM {_HITS} h LEFT JOIN r10 r ON 'doc/' || (r.node - 1) = h.url")
+@query("RK4", rank_sql() + f" SELECT h.url, round(0.6 * h.cum_weight + 0.4 * coalesce(r.rank, 0), 6) AS combined FROM {_HITS} h LEFT JOIN r10 r ON 'doc/' || (r.node - 1) = h.url")
 def rk4(t: Tables) -> DataFrame:
     hits = S.relevance(S.matches(t.weights, Q))
     out = hits.join(_doc_rank(t).withColumnRenamed("node", "url"), "url", "left")
@@ -192,7 +185,7 @@ def so1(t: Tables) -> DataFrame:
     return S.paged(S.relevance(S.matches(t.weights, Q)), [F.desc("match_count"), F.desc(F.round("cum_weight", 8)), F.asc("url")]).select("url", "match_count")
 
 
-@query("SO3", _rank_sql() + f" SELECT h.url, row_number() OVER (ORDER BY round(0.6 * h.cum_weight + 0.4 * coalesce(r.rank, 0), 8) DESC, h.url)::INT AS place FROM {_PAGE} h LEFT JOIN r10 r ON 'doc/' || (r.node - 1) = h.url")
+@query("SO3", rank_sql() + f" SELECT h.url, row_number() OVER (ORDER BY round(0.6 * h.cum_weight + 0.4 * coalesce(r.rank, 0), 8) DESC, h.url)::INT AS place FROM {_PAGE} h LEFT JOIN r10 r ON 'doc/' || (r.node - 1) = h.url")
 def so3(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
@@ -200,7 +193,7 @@ def so3(t: Tables) -> DataFrame:
     return page.select("url", F.row_number().over(Window.orderBy(F.desc(F.round("combined", 8)), "url")).alias("place"))  # 20 rows
 
 
-@query("SO12", _rank_sql() + " SELECT node, round(rank, 10) AS rank FROM r10 ORDER BY round(rank, 10) DESC, node LIMIT 100")
+@query("SO12", rank_sql() + " SELECT node, round(rank, 10) AS rank FROM r10 ORDER BY round(rank, 10) DESC, node LIMIT 100")
 def so12(t: Tables) -> DataFrame:
     return _ranked(t).select("node", F.round("rank", 10).alias("rank")).orderBy(F.desc("rank"), "node").limit(100)
 
@@ -210,7 +203,7 @@ def tk1(t: Tables) -> DataFrame:
     return S.paged(S.relevance(S.matches(t.weights, Q)), [F.desc("match_count"), F.desc(F.round("cum_weight", 8)), F.asc("url")], 2).select("url", "match_count")
 
 
-@query("TK3", _rank_sql() + " SELECT p_partkey AS page, p_name AS title, round(rank, 10) AS rank FROM (SELECT * FROM r10 ORDER BY round(rank, 10) DESC, node LIMIT 1) JOIN {part} ON p_partkey = node")
+@query("TK3", rank_sql() + " SELECT p_partkey AS page, p_name AS title, round(rank, 10) AS rank FROM (SELECT * FROM r10 ORDER BY round(rank, 10) DESC, node LIMIT 1) JOIN {part} ON p_partkey = node")
 def tk3(t: Tables) -> DataFrame:
     top = _ranked(t).orderBy(F.desc(F.round("rank", 10)), "node").limit(1)
     return t.part.join(F.broadcast(top), F.col("p_partkey") == F.col("node")).select(F.col("p_partkey").alias("page"), F.col("p_name").alias("title"), F.round("rank", 10).alias("rank"))  # one row
@@ -318,7 +311,7 @@ def fz6(t: Tables) -> DataFrame:
     return R.saved(S.corrected(t.misspelled, t.dictionary).where("correction is not null").select("term", "correction"), "spelling")
 
 
-@query("JN1", _rank_sql() + " SELECT m.url, round(coalesce(r.rank, 0), 10) AS rank FROM {metadata} m LEFT JOIN r10 r ON 'doc/' || (r.node - 1) = m.url")
+@query("JN1", rank_sql() + " SELECT m.url, round(coalesce(r.rank, 0), 10) AS rank FROM {metadata} m LEFT JOIN r10 r ON 'doc/' || (r.node - 1) = m.url")
 def jn1(t: Tables) -> DataFrame:
     return t.metadata.join(_doc_rank(t).withColumnRenamed("node", "url"), "url", "left").select("url", F.round(F.coalesce("rank", F.lit(0.0)), 10).alias("rank"))
 
@@ -338,7 +331,7 @@ def jn5(t: Tables) -> DataFrame:
     return t.word_edges.join(t.metadata.select(F.col("url").alias("src"), "title"), "src", "left").select("src", "dst", F.coalesce("title", F.lit("Page Not Indexed")).alias("title"))
 
 
-@query("JN6", _rank_sql(1) + " SELECT node, round(rank, 10) AS rank FROM r1")
+@query("JN6", rank_sql(1) + " SELECT node, round(rank, 10) AS rank FROM r1")
 def jn6(t: Tables) -> DataFrame:
     e = t.edges
     nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
@@ -489,7 +482,7 @@ def ap7(t: Tables) -> DataFrame:
     return top.withColumn("total", t.searches.agg(F.count("*")).scalar()).withColumn("url", page.scalar())
 
 
-@query("AP8", _rank_sql() + " SELECT node FROM r10 ORDER BY round(rank, 10) DESC, node LIMIT 1")
+@query("AP8", rank_sql() + " SELECT node FROM r10 ORDER BY round(rank, 10) DESC, node LIMIT 1")
 def ap8(t: Tables) -> DataFrame:
     return _ranked(t).orderBy(F.desc(F.round("rank", 10)), "node").limit(1).select("node")
 

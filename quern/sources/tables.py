@@ -58,9 +58,13 @@ def inserted_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataF
 
 
 def set_union(old: DataFrame, new: DataFrame) -> DataFrame:
-    """_id, links: the sets of both; new has _id, link rows."""
-    rows = old.select("_id", F.explode("links").alias("link")).unionByName(new.select("_id", "link")).distinct()
-    return rows.groupBy("_id").agg(F.array_sort(F.collect_set("link")).alias("links"))
+    """_id, link: the members of both sets. A set is one row for each member, so that no set must fit into one row."""
+    return old.select("_id", "link").unionByName(new.select("_id", "link")).distinct()
+
+
+def members_of(sets: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The members' rows of the sets with these keys."""
+    return sets.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def updated_existing(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

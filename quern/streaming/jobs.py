@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from quern.operators.indexing import postings, tokens_of
 
+#: Entries at which the crawl stops (a fixed value), and observations of the queue that are put in order together.
+QUEUE_HIGH, STRETCH = 5000, 100_000
+
 
 def arriving(spark: SparkSession, folder: str, pattern: str, schema: StructType, files: int = 1) -> DataFrame:
     """Parquet files of a folder as a stream; files limits a batch, so that a long queue is worked off in bounded steps."""
@@ -42,29 +45,46 @@ def search_counts(searches: DataFrame) -> DataFrame:
     return searches.groupBy(F.lower(F.trim("q")).alias("term")).agg(F.count("*").alias("times"))
 
 
-def backlink_sets(edges: DataFrame) -> DataFrame:
-    """dst, links: the set of sources so far."""
-    return edges.groupBy("dst").agg(F.array_sort(F.collect_set("src")).alias("links"))
+def backlink_pairs(edges: DataFrame) -> DataFrame:
+    """dst, src: each link once, whenever it came. The set of a page is its rows, so that no page's links must fit into one row."""
+    return edges.select("dst", "src").dropDuplicates(["dst", "src"])
 
 
 def changed_pages(pages: DataFrame, key: str = "url", mark: str = "last_crawled") -> DataFrame:
-    """Pages whose mark differs from the last one of their URL; the state is one mark for each URL."""
+    """A page for each mark of its URL that differs from the stored one; the stored one is then the greatest. The state is one mark for each URL.
+
+    The rows of a URL may come in any order and in any number of parts: a mark that was seen since the last trigger is not given again.
+    """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.schema.fields)
 
     def only_new(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
+        seen = set() if last is None else {last}
         for batch in batches:
-            rows = batch.sort_values(mark)
-            keep = []
-            for x in rows[mark].astype(str):
-                keep.append(x != last)
-                last = x
-            yield rows[keep]
-        state.update((last,))
+            marks = batch[mark].astype(str)
+            keep = ~(marks.isin(seen) | marks.duplicated())
+            seen.update(marks[keep])
+            yield batch[keep]
+        state.update((max(seen),))
 
     return pages.groupBy(key).applyInPandasWithState(only_new, fields, "mark string", "append", GroupStateTimeout.NoTimeout)
 
 
+def may_crawl(lengths: DataFrame, high: int = QUEUE_HIGH) -> DataFrame:
+    """Adds paused: whether the crawl stands still after each observation of the queue (seq, waiting).
+
+    It stops at high entries and goes on only when the queue is empty, for which the indexer signals; between the two it stays as it was.
+    """
+    turn = F.when(F.col("waiting") >= high, True).when(F.col("waiting") == 0, False)
+    # the last turn before an observation decides: turns are numbered by sums within stretches of observations, then over the stretches
+    marked = lengths.withColumn("turn", turn).withColumn("stretch", F.floor(F.col("seq") / STRETCH))
+    last = marked.where("turn is not null").groupBy("stretch").agg(F.max_by("turn", "seq").alias("ended"))
+    every = marked.select("stretch").distinct().join(last, "stretch", "left")  # one row for STRETCH observations
+    before = every.withColumn("begun", F.last("ended", ignorenulls=True).over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))).drop("ended")
+    w = Window.partitionBy("stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.join(before, "stretch").withColumn("paused", F.coalesce(F.last("turn", ignorenulls=True).over(w), "begun", F.lit(False))).drop("turn", "stretch", "begun")
+
+
 def sessions(searches: DataFrame, gap: str = "24 hours") -> DataFrame:
     """counter, start, total: searches (ts, counter) until a pause of a day; closed sessions are appended as the watermark passes."""
     return timed(searches).withWatermark("ts", "1 hour").groupBy(F.session_window("ts", gap), "counter").agg(F.count("*").alias("total")).select("counter", F.col("session_window.start").alias("start"), "total")
