@@ -122,12 +122,12 @@ n{n} AS (SELECT {', '.join([*at, level])}, sum(capacity)::BIGINT AS capacity, {c
 l{n} AS (SELECT c.*, b.budget, (b.budget - coalesce(sum(capacity) OVER (PARTITION BY {', '.join(['1', *('c.' + a for a in at)])} ORDER BY capacity / weight, c.{level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
     / (sum(weight) OVER (PARTITION BY {', '.join(['1', *('c.' + a for a in at)])} ORDER BY capacity / weight, c.{level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM n{n} c {budget}),
 g{n} AS (SELECT {', '.join([*at, level])}, least(capacity::DOUBLE, weight * max(level) OVER (PARTITION BY {', '.join(['1', *at])})) AS budget FROM l{n})"""
-    return f"""WITH words AS (SELECT doc_id, lang AS lang0, source AS source0, coalesce('d' || (try_cast(nullif(regexp_extract(source, '[0-9]+$'), '') AS BIGINT) % 4)::VARCHAR, '(none)') AS domain,
+    return f"""WITH words AS (SELECT doc_id, concat_ws(':', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, ''))) AS name, lang AS lang0, source AS source0, coalesce('d' || (try_cast(nullif(regexp_extract(source, '[0-9]+$'), '') AS BIGINT) % 4)::VARCHAR, '(none)') AS domain,
     coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, greatest(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')), 1)::BIGINT AS tokens FROM documents),
 leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, sum(tokens)::BIGINT * {MIX_EPOCHS} AS capacity FROM words GROUP BY ALL),
 total AS (SELECT floor(sum(tokens)::DOUBLE * {MIX_SHARE[0]} / {MIX_SHARE[1]}) AS budget FROM leaves),{fill(1, [], 'domain', 'CROSS JOIN total b')},{fill(2, ['domain'], 'lang', 'JOIN g1 b ON b.domain = c.domain')},{fill(3, ['domain', 'lang'], 'source', 'JOIN g2 b ON b.domain = c.domain AND b.lang = c.lang')},
 targets AS (SELECT l.domain, l.lang, l.source, floor(g.budget)::BIGINT // l.tokens AS whole, floor(g.budget)::BIGINT % l.tokens AS rest FROM leaves l JOIN g3 g USING (domain, lang, source)),
-keyed AS (SELECT w.*, t.whole, t.rest, md5('{MIX_SEED}:' || t.whole || ':' || coalesce(w.doc_id::VARCHAR, '')) AS k FROM words w JOIN targets t USING (domain, lang, source)),
+keyed AS (SELECT w.*, t.whole, t.rest, md5('{MIX_SEED}:' || t.whole || ':' || w.name) AS k FROM words w JOIN targets t USING (domain, lang, source)),
 run AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM keyed),
 taken AS (SELECT doc_id, lang0, source0, domain, e.epoch, tokens FROM run, range(0, whole) e(epoch)
     UNION ALL SELECT doc_id, lang0, source0, domain, whole, least(tokens, rest - before) FROM run WHERE before < rest)
