@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from quern.functions.text import STOP_WORDS
 from quern.operators.indexing import dictionary, postings, tokens_of
@@ -20,7 +21,7 @@ _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 #: SQL that both engines read.
 SQL = {
     "english": "SELECT concat('doc/', doc_id) AS url, doc_id, text FROM {documents} WHERE lang = 'en'",
-    "metadata": "SELECT url, doc_id, split_part(text, chr(10), 1) AS title, CAST(NULL AS STRING) AS description, substr(text, 1, 600) AS summary_text FROM {english}",
+    "metadata": "SELECT url, doc_id, split_part(text, chr(10), 1) AS title, CAST(NULL AS STRING) AS description, array_join(slice(regexp_extract_all(text, '\\\\S+', 0), 1, 500), ' ') AS summary_text FROM {english}",
     "edges": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey",
     "word_edges": "SELECT concat('doc/', src - 1) AS src, concat('doc/', dst - 1) AS dst FROM {edges}",
     "images": "SELECT concat(replace(p_name, ' ', '-'), '-', p_partkey % 7, '00px.', CASE WHEN p_partkey % 11 = 0 THEN 'svg' WHEN p_partkey % 2 = 0 THEN 'png' ELSE 'jpg' END) AS filename, concat('img.example.org/', CASE WHEN p_partkey % 13 = 0 THEN 'icons/' ELSE 'a/' END, p_partkey, '/', replace(p_name, ' ', '-'), '.', CASE WHEN p_partkey % 11 = 0 THEN 'svg' ELSE 'png' END) AS image_url, concat('doc/', p_partkey % 997) AS page_url, CASE WHEN p_partkey % 5 = 0 THEN CAST(NULL AS STRING) ELSE p_type END AS alt, p_size * 10 AS width, (p_size * 7) % 400 AS height FROM {part}",
@@ -40,6 +41,7 @@ SQL = {
 
 #: DuckDB's form of the bindings that Spark builds with DataFrame functions.
 DUCKDB = {
+    "metadata": "SELECT url, doc_id, split_part(text, chr(10), 1) AS title, CAST(NULL AS VARCHAR) AS description, array_to_string(regexp_extract_all(text, '\\S+')[1:500], ' ') AS summary_text FROM {english}",
     "tokens": f"SELECT url, word, pos FROM (SELECT url, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT url, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {{english}})) WHERE word NOT IN ({_STOPS})",
     "words": "SELECT url, word, tf FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY tf DESC, first_pos) AS r FROM (SELECT url, word, count(*) AS tf, min(pos) AS first_pos FROM {tokens} GROUP BY url, word)) WHERE r <= 1000",
     "weights": "SELECT w.url, w.word, w.tf, d.idf, w.tf * d.idf AS weight FROM {words} w JOIN (SELECT word, log10((SELECT count(*) FROM {metadata})::DOUBLE / (1 + count(*))) AS idf FROM {words} GROUP BY word) d USING (word)",
@@ -88,6 +90,14 @@ class Tables:
         if name == "dictionary":
             return dictionary(self.tokens)
         if name == "misspelled":
-            return self.spark.sql("SELECT word, substr(word, 1, char_length(word) - 1) AS term FROM (SELECT word, row_number() OVER (ORDER BY word) AS r FROM {d} WHERE char_length(word) >= 5) WHERE r % 50 = 0", d=self.dictionary)
+            return self._misspelled()
         sql = SQL[name]
         return self.spark.sql(sql, **{x: getattr(self, x) for x in set(re.findall(r"\{(\w+)\}", sql))})
+
+    def _misspelled(self) -> DataFrame:
+        """Every 50th word of at least 5 letters without its last letter. Words are numbered by beginnings, whose counts say where each one's numbers begin."""
+        words = self.dictionary.where("char_length(word) >= 5").withColumn("head", F.left("word", F.lit(3)))
+        heads = words.groupBy("head").agg(F.count("*").alias("n"))
+        begins = heads.withColumn("begin", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+        numbered = words.join(begins, "head").withColumn("r", F.col("begin") + F.row_number().over(Window.partitionBy("head").orderBy("word")))
+        return numbered.where("r % 50 = 0").select("word", F.expr("substr(word, 1, char_length(word) - 1)").alias("term"))

@@ -11,6 +11,16 @@ STOP_WORDS = (
     "just me more most my myself no nor not now of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves"
 ).split()
 
+#: Frequent short words by language (lists of our own), for the vote of detected_language().
+COMMON_WORDS = {
+    "en": "the of and to in is that it was for on are with as be at this by from or an not but have had they which you were her all she there would their we him been has when who will more no if out so".split(),
+    "de": "der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über".split(),
+    "fr": "le de la et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec ou son aux cette mais comme nous leur ont".split(),
+    "es": "de la que el en y los se del las un por con una su para es al lo como más pero sus le ya este sí porque esta entre cuando muy sin sobre".split(),
+}
+#: Characters of a text that are judged (a fixed value).
+LANGUAGE_SAMPLE = 1000
+
 # File types that are left out of names
 FILE_TYPES = ("png", "svg", "ico", "gif", "jpeg", "jpg")
 # Parts of URLs that are no terms
@@ -29,6 +39,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def _common(words: Column, of: list[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(*of)))
+
+
+def detected_language(text: Column) -> Column:
+    """The language most of whose common words stand in the first LANGUAGE_SAMPLE characters; ties go to the first of COMMON_WORDS, null without any."""
+    found = F.regexp_extract_all(F.lower(F.left(text, F.lit(LANGUAGE_SAMPLE))), F.lit("\\p{L}+"), F.lit(0))
+    votes = F.transform(F.array(found), lambda w: F.array(*(_common(w, own) for own in COMMON_WORDS.values())))[0]
+    best = F.element_at(F.array(*map(F.lit, COMMON_WORDS)), F.array_position(votes, F.array_max(votes)).cast("int"))
+    return F.when(F.array_max(votes) > 0, best)
+
+
 def index_terms(tokens: Column) -> Column:
     """Tokens that are letters and digits of any script and no stop words, in lower case; repeats stay."""
     return F.filter(F.transform(tokens, F.lower), lambda t: t.rlike("^[\\p{L}\\p{N}]+$") & ~t.isin(*STOP_WORDS))

@@ -50,10 +50,15 @@ def link_targets(parsed: DataFrame) -> DataFrame:
     return rows.select("page_id", "url", U.stripped(U.resolved(F.col("url"), F.col("href"))).alias("link")).where("link is not null").distinct()
 
 
+def without_loops(edges: DataFrame) -> DataFrame:
+    """src, dst: distinct links without a page's links to itself and links with a null end."""
+    return edges.where("src <> dst").select("src", "dst").distinct()
+
+
 def page_edges(links: DataFrame) -> DataFrame:
     """src, dst: links between normalised pages, without a page's links to itself."""
     rows = links.where(U.is_valid(F.col("link"))).select(U.normalized(F.col("url")).alias("src"), U.normalized(F.col("link")).alias("dst"))
-    return rows.where("src is not null and dst is not null and src <> dst").distinct()
+    return without_loops(rows)
 
 
 def image_table(parsed: DataFrame) -> DataFrame:

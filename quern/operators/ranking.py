@@ -27,25 +27,33 @@ def tf_idf(words: DataFrame, metadata: DataFrame) -> DataFrame:
     return words.join(idf(words, metadata), "word").select("url", "word", "tf", "idf", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
+#: Links of one page that are kept together; a page with more is divided by target.
+HUB_LINKS = 1_000_000
+
+
 def page_rank(edges: DataFrame, nodes: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """node, rank after some synchronous rounds from 1 / N; a dangling node's rank is not dealt out.
 
     edges: src, dst; out-degree counts all of them. The edges with their degrees are dealt out by src once and kept, so that a round shuffles
-    only ranks and contributions, which the map side has summed. Ranks are written every third round; a lost executor's
-    part of the kept edges is computed again from their table.
+    only ranks and contributions, which the map side has summed. A page of more than HUB_LINKS links is divided into parts, and its rank
+    goes to each. Ranks are written every third round; a lost executor's part of the kept edges is computed again from their table.
     """
-    n = nodes.count()
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    links = saved(edges.join(degree, "src").select("src", "dst", "degree"), "links").repartition("src").persist()
-    nodes = saved(nodes.select("node"), "nodes")
+    parts = F.ceil(F.coalesce("degree", F.lit(1)) / HUB_LINKS).cast("int")
+    nodes = saved(nodes.select("node").join(degree.withColumnRenamed("src", "node"), "node", "left").select("node", "degree", parts.alias("parts")), "nodes")
+    n = nodes.count()
+    own = edges.join(nodes.withColumnRenamed("node", "src").where("degree is not null"), "src")
+    links = saved(own.select("src", F.pmod(F.hash("dst"), F.col("parts")).alias("part"), "dst"), "links").repartition("src", "part").persist()
     rank = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
     for i in range(rounds):
-        given = links.join(rank.withColumnRenamed("node", "src"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
-        rank = nodes.join(given.withColumnRenamed("dst", "node"), "node", "left").select("node", (F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
+        dealt = rank.where("degree is not null").select(F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), (F.col("rank") / F.col("degree")).alias("share"))
+        given = links.join(dealt, ["src", "part"]).groupBy("dst").agg(F.sum("share").alias("given"))
+        value = F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("given", F.lit(0.0))
+        rank = nodes.join(given.withColumnRenamed("dst", "node"), "node", "left").select("node", "degree", "parts", value.alias("rank"))
         if i % 3 == 2 or i + 1 == rounds:
             rank = saved(rank, "rank")
     links.unpersist()
-    return rank
+    return rank.select("node", "rank")
 
 
 def blended(weight: Column, rank: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators.ranking import blended
 
-PER_PAGE = 20
+PER_PAGE, MOST_PER_PAGE = 20, 100
 
 
 def terms_of(spark: SparkSession, q: str) -> DataFrame:
@@ -44,8 +44,10 @@ def pager_end(total: Column) -> Column:
 
 
 def _page(hits: DataFrame, key: str, page: int, per_page: int) -> tuple[DataFrame, list[str]]:
-    """One page of hits as a small table, and its keys; at most per_page rows come to the driver."""
-    cut = paged(hits, [F.desc("match_count"), F.desc("cum_weight"), F.asc(key)], page, min(per_page, 100)).select(key, "cum_weight", "match_count")
+    """One page of hits as a small table, and its keys; at most MOST_PER_PAGE rows come to the driver, more are refused."""
+    if not 1 <= per_page <= MOST_PER_PAGE:
+        raise ValueError(f"per_page is {per_page}, not 1 to {MOST_PER_PAGE}")
+    cut = paged(hits, [F.desc("match_count"), F.desc("cum_weight"), F.asc(key)], page, per_page).select(key, "cum_weight", "match_count")
     rows = cut.collect()
     return hits.sparkSession.createDataFrame(rows, cut.schema), [r[key] for r in rows]
 
@@ -111,6 +113,36 @@ def corrected_query(spark: SparkSession, q: str, words: DataFrame) -> DataFrame:
     return both.agg(F.array_join(ordered, " ").alias("query"), F.coalesce(F.bool_or(F.col("now") != F.col("term")), F.lit(False)).alias("changed"))
 
 
+def corrected_queries(queries: DataFrame, words: DataFrame) -> DataFrame:
+    """id, query, changed for each query (id, q): its terms corrected in their order; blanks are skipped. Each distinct term is looked up once."""
+    parts = queries.select("id", F.posexplode(F.split(F.lower(F.replace("q", F.lit("+"), F.lit(" "))), " ")).alias("pos", "term")).where("term <> ''")
+    both = parts.join(corrected(parts, words).select("term", "correction"), "term", "left").withColumn("now", F.coalesce("correction", "term"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "now"))), lambda x: x["now"])  # one query's terms
+    return both.groupBy("id").agg(F.array_join(ordered, " ").alias("query"), F.bool_or(F.col("now") != F.col("term")).alias("changed"))
+
+
+def did_you_mean(query: Column, changed: Column) -> Column:
+    """TX22: the text that is offered when a term was changed, else null."""
+    return F.when(changed, query)
+
+
+def answer(spark: SparkSession, weights: DataFrame, metadata: DataFrame, rank: DataFrame, words: DataFrame, q: str, page: int = 1, spell: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A search as one request: its terms are corrected, the page is cut and ordered, and the search is logged.
+
+    The results have query and changed, and did_you_mean where a term was changed; the log has one row with the corrected query, none for an empty one.
+    """
+    row = corrected_query(spark, q, words).first() if spell else None  # one row
+    query, changed = (row["query"], row["changed"]) if row else (" ".join(q.lower().replace("+", " ").split()), False)
+    found = search(weights, metadata, rank, query, page).withColumns({"query": F.lit(query), "changed": F.lit(changed)})
+    log = spark.range(1).select(F.lit(query).alias("q")).where("trim(q) <> ''")
+    return found.withColumn("did_you_mean", did_you_mean(F.col("query"), F.col("changed"))), log
+
+
+def sampled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows, drawn by a hash of seed and key, so that the same seed draws the same rows on any cluster. Spark keeps the first n of each task."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
+
+
 def neighbours(edges: DataFrame, metadata: DataFrame, url: str) -> DataFrame:
     """url, title, role of the pages that a page links to (outlink), that link to it (backlink), or both; and of itself (main)."""
     out = edges.where(F.col("src") == url).select(F.col("dst").alias("url"), F.lit(True).alias("out"))
@@ -137,10 +169,11 @@ def frontier(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
 def daily_total(log: DataFrame) -> DataFrame:
     """start, total: searches since the last pause of a day; a search within a day of the last goes on with its count.
 
-    Searches are summed by minute first; only the minutes, which do not grow with the traffic, are put in one order.
+    A pause of 24 hours cannot lie within one calendar day: so days with their first and last search are enough, and only these, a
+    few thousand in years of any traffic, are put in one order.
     """
-    minutes = log.groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    w = Window.orderBy("minute")
+    days = log.groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    w = Window.orderBy("day")
     begins = F.coalesce(F.col("first") - F.lag("last").over(w) >= F.expr("INTERVAL 24 HOURS"), F.lit(True))
-    marked = minutes.withColumn("begins", begins.cast("int")).withColumn("session", F.sum("begins").over(w))
+    marked = days.withColumn("begins", begins.cast("int")).withColumn("session", F.sum("begins").over(w))
     return marked.groupBy("session").agg(F.min("first").alias("start"), F.sum("n").alias("total")).select("start", "total")

@@ -27,10 +27,10 @@ def build(pages: DataFrame, lang: DataFrame | None = None) -> dict[str, DataFram
     return {"words": tf_idf(words, metadata), "metadata": metadata, "edges": edges, "pagerank": page_rank(edges, nodes)}
 
 
-def publish(words: DataFrame, folder: str, files: int | None = None) -> None:
-    """Writes postings in ranges of words, sorted within files: a search's terms then skip all files and row groups that cannot have them.
+def publish(rows: DataFrame, folder: str, files: int | None = None, keys: tuple[str, ...] = ("word", "url")) -> None:
+    """Writes rows in ranges of keys, sorted within files: a filter on the first key then skips all files and row groups that cannot have its values.
 
-    A word on very many pages spans several files, as the range is cut by word and page.
+    A word on very many pages spans several files, as the range of postings is cut by word and page.
     """
-    n = files or int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words.repartitionByRange(n, "word", "url").sortWithinPartitions("word", "url").write.mode("overwrite").parquet(folder)
+    n = files or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(folder)

@@ -10,7 +10,8 @@ from quern.functions import text as T
 from quern.operators import indexing as I
 from quern.operators import ranking as R
 from quern.operators import search as S
-from quern.queries.registry import NODES, query, rank_sql
+from quern.plans.index import published
+from quern.queries.registry import NODES, SPELL, query, rank_sql
 
 Q = "The of thestth and+er ER onst haed"
 TERMS = "('of', 'the', 'thestth', 'and', 'er', 'onst', 'haed')"
@@ -22,23 +23,20 @@ def _ranked(t: Tables) -> DataFrame:
     return R.page_rank(e, nodes)
 
 
-def _doc_rank(t: Tables) -> DataFrame:
-    return _ranked(t).select(F.concat(F.lit("doc/"), F.col("node") - 1).alias("node"), "rank")
-
-
 _HITS = f"(SELECT url, sum(weight) AS cum_weight, count(*) AS match_count FROM {{weights}} WHERE word IN {TERMS} GROUP BY url)"
 _PAGE = f"(SELECT * FROM {_HITS} ORDER BY match_count DESC, round(cum_weight, 8) DESC, url LIMIT 20)"
 
 
 @query("search", rank_sql() + f" SELECT h.url, h.match_count, round(h.cum_weight, 6) AS cum_weight, round(coalesce(r.rank, 0), 9) AS rank, round(0.6 * h.cum_weight + 0.4 * coalesce(r.rank, 0), 6) AS combined, coalesce(m.title, '') AS title FROM {_PAGE} h LEFT JOIN r10 r ON 'doc/' || (r.node - 1) = h.url LEFT JOIN {{metadata}} m ON m.url = h.url")
 def search(t: Tables) -> DataFrame:
-    out = S.search(t.weights, t.metadata, _doc_rank(t), Q)
+    index = published(t)
+    out = S.search(index.weights, index.metadata, index.rank, Q)
     return out.select("url", "match_count", F.round("cum_weight", 6).alias("cum_weight"), F.round("rank", 9).alias("rank"), F.round("combined", 6).alias("combined"), "title")
 
 
 @query("AG1", f"SELECT url, round(sum(weight), 6) AS cum_weight, count(*) AS match_count, list_aggregate(list_sort(list_distinct(list(word))), 'string_agg', ',') AS matched FROM {{weights}} WHERE word IN {TERMS} GROUP BY url")
 def ag1(t: Tables) -> DataFrame:
-    return S.relevance(S.matches(t.weights, Q)).select("url", F.round("cum_weight", 6).alias("cum_weight"), "match_count", F.array_join("matched", ",").alias("matched"))
+    return S.relevance(S.matches(published(t).weights, Q)).select("url", F.round("cum_weight", 6).alias("cum_weight"), "match_count", F.array_join("matched", ",").alias("matched"))
 
 
 @query("AG3", f"SELECT count(DISTINCT url) AS pages FROM {{words}} WHERE word IN {TERMS}")
@@ -92,7 +90,10 @@ def ag12(t: Tables) -> DataFrame:
     return S.search_counts(t.searches)
 
 
-@query("AG13", "SELECT min(ts) AS start, count(*) AS total FROM (SELECT ts, sum(new) OVER (ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, event_id) < INTERVAL 24 HOURS THEN 0 ELSE 1 END AS new FROM {searches})) GROUP BY s")
+_DAYS = "SELECT min(ts) AS start, count(*) AS total FROM (SELECT ts, sum(new) OVER (ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, event_id) < INTERVAL 24 HOURS THEN 0 ELSE 1 END AS new FROM {searches})) GROUP BY s"
+
+
+@query("AG13", _DAYS)
 def ag13(t: Tables) -> DataFrame:
     return S.daily_total(t.searches)
 
@@ -152,8 +153,8 @@ def gr1(t: Tables) -> DataFrame:
 
 @query("RK4", rank_sql() + f" SELECT h.url, round(0.6 * h.cum_weight + 0.4 * coalesce(r.rank, 0), 6) AS combined FROM {_HITS} h LEFT JOIN r10 r ON 'doc/' || (r.node - 1) = h.url")
 def rk4(t: Tables) -> DataFrame:
-    hits = S.relevance(S.matches(t.weights, Q))
-    out = hits.join(_doc_rank(t).withColumnRenamed("node", "url"), "url", "left")
+    hits = S.relevance(S.matches(published(t).weights, Q))
+    out = hits.join(published(t).rank.withColumnRenamed("node", "url"), "url", "left")
     return out.select("url", F.round(R.blended(F.col("cum_weight"), F.col("rank")), 6).alias("combined"))
 
 
@@ -161,7 +162,7 @@ def rk4(t: Tables) -> DataFrame:
 def rk6(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
-    cut = S.paged(S.relevance(S.matches(t.weights, Q)), [F.desc("match_count"), F.desc(F.round("cum_weight", 8)), F.asc("url")])
+    cut = S.paged(S.relevance(S.matches(published(t).weights, Q)), [F.desc("match_count"), F.desc(F.round("cum_weight", 8)), F.asc("url")])
     return cut.select("url", F.row_number().over(Window.orderBy(F.desc("match_count"), F.desc(F.round("cum_weight", 8)), "url")).alias("place"))  # 20 rows
 
 
@@ -182,14 +183,15 @@ def rk10(t: Tables) -> DataFrame:
 
 @query("SO1", f"SELECT url, match_count FROM {_PAGE}")
 def so1(t: Tables) -> DataFrame:
-    return S.paged(S.relevance(S.matches(t.weights, Q)), [F.desc("match_count"), F.desc(F.round("cum_weight", 8)), F.asc("url")]).select("url", "match_count")
+    return S.paged(S.relevance(S.matches(published(t).weights, Q)), [F.desc("match_count"), F.desc(F.round("cum_weight", 8)), F.asc("url")]).select("url", "match_count")
 
 
 @query("SO3", rank_sql() + f" SELECT h.url, row_number() OVER (ORDER BY round(0.6 * h.cum_weight + 0.4 * coalesce(r.rank, 0), 8) DESC, h.url)::INT AS place FROM {_PAGE} h LEFT JOIN r10 r ON 'doc/' || (r.node - 1) = h.url")
 def so3(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
-    page = S.search(t.weights, t.metadata, _doc_rank(t), Q)
+    index = published(t)
+    page = S.search(index.weights, index.metadata, index.rank, Q)
     return page.select("url", F.row_number().over(Window.orderBy(F.desc(F.round("combined", 8)), "url")).alias("place"))  # 20 rows
 
 
@@ -200,7 +202,7 @@ def so12(t: Tables) -> DataFrame:
 
 @query("TK1", f"SELECT url, match_count FROM {_HITS} ORDER BY match_count DESC, round(cum_weight, 8) DESC, url LIMIT 20 OFFSET 20")
 def tk1(t: Tables) -> DataFrame:
-    return S.paged(S.relevance(S.matches(t.weights, Q)), [F.desc("match_count"), F.desc(F.round("cum_weight", 8)), F.asc("url")], 2).select("url", "match_count")
+    return S.paged(S.relevance(S.matches(published(t).weights, Q)), [F.desc("match_count"), F.desc(F.round("cum_weight", 8)), F.asc("url")], 2).select("url", "match_count")
 
 
 @query("TK3", rank_sql() + " SELECT p_partkey AS page, p_name AS title, round(rank, 10) AS rank FROM (SELECT * FROM r10 ORDER BY round(rank, 10) DESC, node LIMIT 1) JOIN {part} ON p_partkey = node")
@@ -258,9 +260,9 @@ def flt5(t: Tables) -> DataFrame:
     return t.english.where(F.size(terms) > 0).select("url")
 
 
-@query("FLT13", "SELECT count(*) AS edges FROM {edges}")
+@query("FLT13", "SELECT DISTINCT l_orderkey % 50 AS src, l_partkey % 50 AS dst FROM {lineitem} WHERE l_orderkey % 50 <> l_partkey % 50")
 def flt13(t: Tables) -> DataFrame:
-    return t.edges.where("src <> dst").agg(F.count("*").alias("edges"))
+    return I.without_loops(t.lineitem.select((F.col("l_orderkey") % 50).alias("src"), (F.col("l_partkey") % 50).alias("dst")))
 
 
 @query("FLT23", f"SELECT term FROM {_COUNTS} WHERE starts_with(term, 'view 1')")
@@ -273,27 +275,22 @@ def flt24(t: Tables) -> DataFrame:
     return t.dictionary.where(F.startswith("word", F.lit("th")) & F.char_length("word").between(4, 6))
 
 
-_SPELL = """(SELECT m.term, d.word, levenshtein(m.term, d.word) AS distance FROM {misspelled} m JOIN {dictionary} d
-    ON length(d.word) BETWEEN length(m.term) - 1 AND length(m.term) + 1 AND substr(d.word, 1, CASE WHEN length(m.term) > 3 THEN length(m.term) - 2 ELSE 1 END) = substr(m.term, 1, CASE WHEN length(m.term) > 3 THEN length(m.term) - 2 ELSE 1 END)
-    WHERE levenshtein(m.term, d.word) <= CASE WHEN length(m.term) <= 4 THEN 1 ELSE least(2, length(m.term) // 4) END)"""
-
-
 @query("FZ1", "SELECT DISTINCT m.term FROM {misspelled} m JOIN {dictionary} d ON d.word = m.term")
 def fz1(t: Tables) -> DataFrame:
     return t.misspelled.join(t.dictionary.withColumnRenamed("word", "term"), "term", "left_semi").select("term").distinct()
 
 
-@query("FZ2", f"SELECT count(*) AS found FROM (SELECT DISTINCT term FROM {_SPELL})")
+@query("FZ2", f"SELECT count(*) AS found FROM (SELECT DISTINCT term FROM {SPELL})")
 def fz2(t: Tables) -> DataFrame:
     return S.corrected(t.misspelled, t.dictionary).where("correction is not null").agg(F.count("*").alias("found"))
 
 
-@query("FZ3", f"SELECT term, min(distance)::INT AS distance FROM {_SPELL} GROUP BY term")
+@query("FZ3", f"SELECT term, min(distance)::INT AS distance FROM {SPELL} GROUP BY term")
 def fz3(t: Tables) -> DataFrame:
     return S.corrected(t.misspelled, t.dictionary).where("correction is not null").select("term", "distance")
 
 
-@query("FZ4", f"SELECT t.term, s.word AS correction FROM (SELECT DISTINCT term FROM {{misspelled}}) t LEFT JOIN (SELECT term, word FROM {_SPELL} QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, word) = 1) s USING (term)")
+@query("FZ4", f"SELECT t.term, s.word AS correction FROM (SELECT DISTINCT term FROM {{misspelled}}) t LEFT JOIN (SELECT term, word FROM {SPELL} QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, word) = 1) s USING (term)")
 def fz4(t: Tables) -> DataFrame:
     return S.corrected(t.misspelled, t.dictionary).select("term", "correction")
 
@@ -301,24 +298,24 @@ def fz4(t: Tables) -> DataFrame:
 _ASKED = "(SELECT pos, term, term AS word FROM (VALUES (0, 'thingg'), (1, 'of'), (2, 'ererr'), (3, 'the')) v(pos, term))"
 
 
-@query("FZ5", f"SELECT string_agg(coalesce(s.word, t.term), ' ' ORDER BY t.pos) AS query, bool_or(coalesce(s.word, t.term) <> t.term) AS changed FROM {_ASKED} t LEFT JOIN (SELECT term, word FROM {_SPELL.replace('{misspelled}', _ASKED)} QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, word) = 1) s USING (term)")
+@query("FZ5", f"SELECT string_agg(coalesce(s.word, t.term), ' ' ORDER BY t.pos) AS query, bool_or(coalesce(s.word, t.term) <> t.term) AS changed FROM {_ASKED} t LEFT JOIN (SELECT term, word FROM {SPELL.replace('{misspelled}', _ASKED)} QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, word) = 1) s USING (term)")
 def fz5(t: Tables) -> DataFrame:
     return S.corrected_query(t.spark, "thingg of+ererr the", t.dictionary)
 
 
-@query("FZ6", f"SELECT t.term, s.word AS correction FROM (SELECT DISTINCT term FROM {{misspelled}}) t LEFT JOIN (SELECT term, word FROM {_SPELL} QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, word) = 1) s USING (term) WHERE s.word IS NOT NULL")
+@query("FZ6", f"SELECT t.term, s.word AS correction FROM (SELECT DISTINCT term FROM {{misspelled}}) t LEFT JOIN (SELECT term, word FROM {SPELL} QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, word) = 1) s USING (term) WHERE s.word IS NOT NULL")
 def fz6(t: Tables) -> DataFrame:
     return R.saved(S.corrected(t.misspelled, t.dictionary).where("correction is not null").select("term", "correction"), "spelling")
 
 
 @query("JN1", rank_sql() + " SELECT m.url, round(coalesce(r.rank, 0), 10) AS rank FROM {metadata} m LEFT JOIN r10 r ON 'doc/' || (r.node - 1) = m.url")
 def jn1(t: Tables) -> DataFrame:
-    return t.metadata.join(_doc_rank(t).withColumnRenamed("node", "url"), "url", "left").select("url", F.round(F.coalesce("rank", F.lit(0.0)), 10).alias("rank"))
+    return t.metadata.join(published(t).rank.withColumnRenamed("node", "url"), "url", "left").select("url", F.round(F.coalesce("rank", F.lit(0.0)), 10).alias("rank"))
 
 
 @query("JN2", f"SELECT h.url, coalesce(m.title, '') AS title FROM {_HITS} h LEFT JOIN (SELECT * FROM {{metadata}} WHERE doc_id % 2 = 0) m USING (url)")
 def jn2(t: Tables) -> DataFrame:
-    return S.relevance(S.matches(t.weights, Q)).join(t.metadata.where("doc_id % 2 = 0"), "url", "left").select("url", F.coalesce("title", F.lit("")).alias("title"))
+    return S.relevance(S.matches(published(t).weights, Q)).join(t.metadata.where("doc_id % 2 = 0"), "url", "left").select("url", F.coalesce("title", F.lit("")).alias("title"))
 
 
 @query("JN4", "SELECT e.src, e.dst, coalesce(m.title, 'Page Not Indexed') AS title FROM {word_edges} e LEFT JOIN {metadata} m ON m.url = e.dst")
@@ -372,14 +369,14 @@ def gr4(t: Tables) -> DataFrame:
     return S.frontier(t.edges, t.spark.sql("SELECT CAST(1 AS BIGINT) AS url"))
 
 
-@query("SM1")
+@query("SM1", "SELECT url, title FROM {metadata} ORDER BY md5('7:' || url) LIMIT 1")
 def sm1(t: Tables) -> DataFrame:
-    return t.metadata.select("url", "title").orderBy(F.rand(7)).limit(1)
+    return S.sampled(t.metadata.select("url", "title"), "url", 1, 7)
 
 
-@query("SM2")
+@query("SM2", "SELECT url FROM {metadata} ORDER BY md5('7:' || url) LIMIT 25")
 def sm2(t: Tables) -> DataFrame:
-    return t.metadata.select("url").orderBy(F.rand(7)).limit(25)
+    return S.sampled(t.metadata.select("url"), "url", 25, 7)
 
 
 @query("PG1", "SELECT user_id, greatest(least(ceil(count(*) / 20.0), 10), 2)::BIGINT AS last_page FROM {events} GROUP BY user_id")
@@ -444,10 +441,26 @@ def flt15(t: Tables) -> DataFrame:
 
 
 # entry points
-@query("AP1", f"SELECT url, match_count FROM {_PAGE}")
+MISSPELT = "Thestthh of+and  onstt haedd"
+_TERMS = "(SELECT pos, term, term AS word FROM (VALUES (0, 'thestthh'), (1, 'of'), (2, 'and'), (3, 'onstt'), (4, 'haedd')) v(pos, term))"
+_MENDED = f"(SELECT t.pos, t.term, coalesce(s.word, t.term) AS now FROM {_TERMS} t LEFT JOIN (SELECT term, word FROM {SPELL.replace('{misspelled}', _TERMS)} QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, word) = 1) s USING (term))"
+
+
+@query("AP1", rank_sql() + f""", m AS MATERIALIZED (SELECT * FROM {_MENDED}), q AS (SELECT string_agg(now, ' ' ORDER BY pos) AS query, bool_or(now <> term) AS changed FROM m),
+    h AS (SELECT url, sum(weight) AS cum_weight, count(*) AS match_count FROM {{weights}} WHERE word IN (SELECT now FROM m) GROUP BY url), p AS (SELECT * FROM h ORDER BY match_count DESC, round(cum_weight, 8) DESC, url LIMIT 20)
+    SELECT p.url, p.match_count, round(0.6 * p.cum_weight + 0.4 * coalesce(r.rank, 0), 6) AS combined, coalesce(d.title, '') AS title, q.query, q.changed, CASE WHEN q.changed THEN q.query END AS did_you_mean
+    FROM p CROSS JOIN q LEFT JOIN r10 r ON 'doc/' || (r.node - 1) = p.url LEFT JOIN {{metadata}} d ON d.url = p.url""")
 def ap1(t: Tables) -> DataFrame:
-    rank = t.spark.createDataFrame([], "node string, rank double")
-    return S.search(t.weights, t.metadata, rank, Q).select("url", "match_count")
+    index = published(t)
+    found, _ = S.answer(t.spark, index.weights, index.metadata, index.rank, index.dictionary, MISSPELT)
+    return found.select("url", "match_count", F.round("combined", 6).alias("combined"), "title", "query", "changed", "did_you_mean")
+
+
+@query("AP1_log", f"SELECT term, count(*) AS times FROM (SELECT lower(trim(q)) AS term FROM {{searches}} UNION ALL SELECT string_agg(now, ' ' ORDER BY pos) FROM {_MENDED}) GROUP BY term")
+def ap1_log(t: Tables) -> DataFrame:
+    index = published(t)
+    _, log = S.answer(t.spark, index.weights, index.metadata, index.rank, index.dictionary, MISSPELT)
+    return S.search_counts(t.searches.select("q").unionByName(log))
 
 
 @query("AP2", f"SELECT image_url FROM {_IMAGE_PAGE}")
@@ -462,7 +475,7 @@ def ap3(t: Tables) -> DataFrame:
 
 @query("AP4", f"SELECT url, match_count FROM {_HITS} ORDER BY match_count DESC, round(cum_weight, 8) DESC, url LIMIT 20 OFFSET 40")
 def ap4(t: Tables) -> DataFrame:
-    return S.paged(S.relevance(S.matches(t.weights, Q)), [F.desc("match_count"), F.desc(F.round("cum_weight", 8)), F.asc("url")], 3).select("url", "match_count")
+    return S.paged(S.relevance(S.matches(published(t).weights, Q)), [F.desc("match_count"), F.desc(F.round("cum_weight", 8)), F.asc("url")], 3).select("url", "match_count")
 
 
 @query("AP5", "SELECT (SELECT count(*) FROM {metadata}) AS pages, (SELECT count(*) FROM {dictionary}) AS words")
@@ -475,11 +488,11 @@ def ap6(t: Tables) -> DataFrame:
     return S.suggestions(S.search_counts(t.searches), "p")
 
 
-@query("AP7")
+@query("AP7", f"SELECT c.term, c.times, (SELECT total FROM ({_DAYS}) ORDER BY start DESC LIMIT 1) AS total, (SELECT url FROM {{metadata}} ORDER BY md5('3:' || url) LIMIT 1) AS url FROM (SELECT * FROM {_COUNTS} ORDER BY times DESC, term LIMIT 1) c")
 def ap7(t: Tables) -> DataFrame:
     top = S.top_searches(S.search_counts(t.searches), 1)
-    page = t.metadata.select("url").orderBy(F.rand(3)).limit(1)
-    return top.withColumn("total", t.searches.agg(F.count("*")).scalar()).withColumn("url", page.scalar())
+    total = S.daily_total(t.searches).orderBy(F.desc("start")).limit(1).select("total")
+    return top.withColumn("total", total.scalar()).withColumn("url", S.sampled(t.metadata.select("url"), "url", 1, 3).scalar())
 
 
 @query("AP8", rank_sql() + " SELECT node FROM r10 ORDER BY round(rank, 10) DESC, node LIMIT 1")

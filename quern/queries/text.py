@@ -10,7 +10,8 @@ from quern.functions import text as T
 from quern.functions import urls as U
 from quern.functions.html import parse_pages
 from quern.operators import indexing as I
-from quern.queries.registry import query
+from quern.operators import search as S
+from quern.queries.registry import SPELL, query
 
 # URLs with the cases that the normalisers treat differently
 _RAW = "(SELECT page_id, CASE page_id % 6 WHEN 0 THEN url || '/' WHEN 1 THEN url || '#part' WHEN 2 THEN replace(url, '://', '://www.') WHEN 3 THEN upper(substr(url, 1, 12)) || substr(url, 13) WHEN 4 THEN replace(url, 'http', 'htp') ELSE url END AS u FROM {pages})"
@@ -167,9 +168,18 @@ def tx9(t: Tables) -> DataFrame:
     return t.english.select("url", F.size(T.index_terms(T.words(F.col("text")))).cast("bigint").alias("terms")).where("terms > 0")
 
 
-@query("TX10", "SELECT page_id, regexp_extract(html, '<html[^>]*lang=\"([a-z]+)\"', 1) AS lang FROM {pages}")
+_VOTES = {k: f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in v)})))" for k, v in T.COMMON_WORDS.items()}
+
+
+@query("TX10", "SELECT doc_id, CASE WHEN greatest(" + ", ".join(_VOTES) + ") = 0 THEN NULL " + " ".join(f"WHEN {k} = greatest({', '.join(_VOTES)}) THEN '{k}'" for k in _VOTES) + " END AS lang FROM (SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in _VOTES.items())
+       + " FROM (SELECT doc_id, regexp_extract_all(lower(left(array_to_string(regexp_extract_all(text, '\\S+')[1:500], ' '), 1000)), '\\pL+') AS w FROM {documents}))")
 def tx10(t: Tables) -> DataFrame:
-    # the page's own declaration stands in for language identification
+    return t.documents.select("doc_id", T.detected_language(T.summary(F.col("text"))).alias("lang"))
+
+
+@query("TX10_page", "SELECT page_id, regexp_extract(html, '<html[^>]*lang=\"([a-z]+)\"', 1) AS lang FROM {pages}")
+def tx10_page(t: Tables) -> DataFrame:
+    # what the page declares
     return t.pages.select("page_id", F.regexp_extract("html", '<html[^>]*lang="([a-z]+)"', 1).alias("lang"))
 
 
@@ -222,17 +232,24 @@ def tx20(t: Tables) -> DataFrame:
     return t.posts.select("post_id", T.slug(F.col("title"), "post").alias("slug"))
 
 
-@query("TX21", "SELECT event_id, CASE WHEN event_id * 77777 >= 1000000000 THEN (floor(event_id * 77777 / 100000000) / 10)::DECIMAL(20,1)::VARCHAR || 'B' WHEN event_id * 77777 >= 1000000 THEN (floor(event_id * 77777 / 100000) / 10)::DECIMAL(20,1)::VARCHAR || 'M' WHEN event_id * 77777 >= 1000 THEN (floor(event_id * 77777 / 100) / 10)::DECIMAL(20,1)::VARCHAR || 'K' ELSE (event_id * 77777)::VARCHAR END AS shown FROM {events} WHERE event_id % 10 = 3")
+_TENTHS = "regexp_replace((floor(n / {0}) / 10)::DECIMAL(20,1)::VARCHAR, '\\.0$', '')"
+
+
+@query("TX21", f"SELECT event_id, CASE WHEN n >= 1000000000 THEN {_TENTHS.format(100000000)} || 'B' WHEN n >= 1000000 THEN {_TENTHS.format(100000)} || 'M' WHEN n >= 1000 THEN {_TENTHS.format(100)} || 'K' ELSE n::VARCHAR END AS shown FROM (SELECT event_id, event_id * event_id * 7 AS n FROM {{events}})")
 def tx21(t: Tables) -> DataFrame:
-    rows = t.events.where("event_id % 10 = 3").select("event_id", (F.col("event_id") * 77777).alias("n"))
-    shown = T.compact_count(F.col("n"))
-    # the SQL always shows one decimal
-    return rows.select("event_id", F.when(shown.rlike("^[0-9]+[KMB]$"), F.concat(F.regexp_replace(shown, "[KMB]$", ""), F.lit(".0"), F.right(shown, F.lit(1)))).otherwise(shown).alias("shown"))
+    return t.events.select("event_id", T.compact_count(F.col("event_id") * F.col("event_id") * 7).alias("shown"))
+
+
+# each search as it was typed, with a letter too many in every other one
+_TYPED = "(SELECT event_id AS id, concat(q, CASE WHEN event_id % 2 = 0 THEN ' thee+andd' ELSE ' of' END) AS q FROM {searches})"
 
 
-@query("TX22", "SELECT event_id, lower(trim(q)) <> q AS changed FROM {searches}")
+@query("TX22", f"""WITH t AS MATERIALIZED (SELECT id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT id, list_filter(string_split(lower(replace(q, '+', ' ')), ' '), lambda x: x <> '') AS w FROM {_TYPED})),
+    u AS MATERIALIZED (SELECT DISTINCT term, term AS word FROM t), c AS (SELECT term, word FROM {SPELL.replace('{misspelled}', 'u')} QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, word) = 1)
+    SELECT id, CASE WHEN bool_or(coalesce(c.word, t.term) <> t.term) THEN string_agg(coalesce(c.word, t.term), ' ' ORDER BY pos) END AS shown FROM t LEFT JOIN c USING (term) GROUP BY id""")
 def tx22(t: Tables) -> DataFrame:
-    return t.searches.select("event_id", (F.lower(F.trim("q")) != F.col("q")).alias("changed"))
+    found = S.corrected_queries(t.asked(_TYPED), t.dictionary)
+    return found.select("id", S.did_you_mean(F.col("query"), F.col("changed")).alias("shown"))
 
 
 @query("TX23", "SELECT page_id, len(regexp_extract_all(html, 'https?://[^\\s<>()\\[\\]{}\"'']+')) AS urls FROM {pages}")
@@ -250,9 +267,13 @@ def tx25(t: Tables) -> DataFrame:
     return t.pages.select("page_id", U.percent_decoded(F.url_encode("url")).alias("path"))
 
 
-@query("TX26", "SELECT event_id, 2::BIGINT AS items FROM {events}")
+_PAYLOAD = "(SELECT event_id, CASE event_id % 5 WHEN 0 THEN '[]' WHEN 1 THEN concat('[\"', event_type, '\"]') WHEN 2 THEN concat('[\"a,b\", \"', event_type, '\", \"\"]') WHEN 3 THEN 'no list' END AS json FROM {events})"
+
+
+@query("TX26", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 END::BIGINT AS items, CASE event_id % 5 WHEN 1 THEN event_type WHEN 2 THEN 'a,b|' || event_type || '|' WHEN 0 THEN '' END AS joined FROM {events}")
 def tx26(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.size(T.string_list(F.to_json(F.array(F.col("event_type"), F.col("user_id").cast("string"))))).cast("bigint").alias("items"))
+    found = T.string_list(F.col("json"))
+    return t.asked(_PAYLOAD).select("event_id", F.when(found.isNotNull(), F.size(found)).cast("bigint").alias("items"), F.array_join(found, "|").alias("joined"))
 
 
 @query("TX27", "SELECT event_id, try_cast(CASE WHEN event_id % 3 = 0 THEN 'x' ELSE event_id::VARCHAR END AS BIGINT) AS n FROM {events}")

@@ -96,8 +96,12 @@ def test_redaction_keeps_nulls(docs):
 
 
 def test_chat_edges(spark):
-    turns = spark.createDataFrame([(1, 0, "user", "a", "k"), (1, 1, "assistant", "b", "k"), (1, 1, "assistant", "b", "k"), (2, None, None, None, "k"), (None, 0, "user", "z", "k")], "conv_id bigint, turn bigint, role string, text string, reply string")
-    out = {r["pair_id"]: r for r in format_preferences(neighbour_pairs(turns)).collect()}
+    turns = spark.createDataFrame([(1, 0, "user", "a", "k"), (1, 1, "assistant", "b", "k"), (1, 1, "assistant", "b", "k"), (2, None, None, None, "k"), (None, 0, "user", "z", "k"), (None, 0, "assistant", "y", "k")], "conv_id bigint, turn bigint, role string, text string, reply string")
+    rows = format_preferences(neighbour_pairs(turns)).collect()
+    out = {r["pair_id"]: r for r in rows}
+    # turns without an id are conversations of their own; the assistant's gets the first conversation's last reply
+    assert sorted((r["prompt"], r["chosen"], r["rejected"]) for r in rows if r["pair_id"] is None) == [("", "<|im_start|>assistant\ny<|im_end|>\n", "<|im_start|>assistant\nb<|im_end|>\n"), ("<|im_start|>user\nz<|im_end|>\n", "", "")]
+    assert neighbour_pairs(turns.limit(0)).count() == 0
     assert len(out) == 3 and out[2]["chosen"] == "" and out[2]["prompt_turns"] == 1
     assert conversations_as_arrays(turns.limit(0)).count() == 0
     pairs = spark.createDataFrame([(1, [("user", "a")], [("user", "a"), ("assistant", "b")]), (2, None, [("assistant", "b")])], "pair_id int, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")

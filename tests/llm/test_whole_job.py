@@ -1,15 +1,20 @@
 """Cases that a bound or a prefilter once left out."""
 
+import hashlib
 import random
 import zlib
+from collections import defaultdict
 from re import _parser
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm import language_id as L
 from quern.llm import license_rules as R
 from quern.llm import secret_crf as S
+from quern.llm.fracminhash import fingerprints
+from quern.llm.mixing import mix
 from quern.llm.ngram_join import one_of_each_group
 
 
@@ -214,3 +219,86 @@ def test_only_the_text_that_lost_its_group_goes(spark):
 def test_the_words_before_a_stretch_are_the_last_ones():
     (_, _, before, after), = S.stretches("ab.cd," * 50 + "hash a1b2c3 " + "ef,gh." * 50)
     assert before == ["cd", ",", "hash"] and after == ["ef"]
+
+
+def _mixed_one_by_one(rows, weights, budget, seed, epochs):
+    """The mixture by plain loops: rows of (doc_id, text, lang, source, n); n tokens each."""
+    leaves = defaultdict(list)
+    for row in rows:
+        leaves["d", row[2] or "(none)", row[3] or "(none)"].append(row)
+
+    def deal(nodes, total):
+        """Shares a budget among nodes (weight, capacity) until all is given or all are full."""
+        given, left, active = [0.0] * len(nodes), float(total), {i for i, (w, c) in enumerate(nodes) if w}
+        while left > 1e-9 and active:
+            unit = left / sum(nodes[i][0] for i in active)
+            full = {i for i in active if nodes[i][1] - given[i] <= unit * nodes[i][0] + 1e-12}
+            for i in full or active:
+                add = min(nodes[i][1] - given[i], unit * nodes[i][0])
+                given[i] += add
+                left -= add
+            active = active - full if full else set()
+        return given
+
+    langs = sorted({k[1] for k in leaves})
+    cap = {k: epochs * sum(r[4] for r in v) for k, v in leaves.items()}
+    top = min(float(budget), float(sum(cap.values())))
+    out = defaultdict(list)
+    for lang, b in zip(langs, deal([(weights.get(x, 1), sum(c for k, c in cap.items() if k[1] == x)) for x in langs], top)):
+        own = sorted(k for k in leaves if k[1] == lang)
+        for k, x in zip(own, deal([(1, cap[k]) for k in own], b)):
+            left, total = int(x + 1e-6), sum(r[4] for r in leaves[k])
+            for epoch in range(epochs):
+                for r in sorted(leaves[k], key=lambda r: hashlib.md5(f"{seed}:{epoch}:{'' if r[0] is None else r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest() if left < total else ""):
+                    if left > 0:
+                        out[r[0], r[1], epoch].append(min(r[4], left))
+                        left -= r[4]
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("share", [10, 80, 199])
+def test_mixture_of_nulls_ties_and_clashing_columns(spark, share):
+    r = random.Random(share)
+    rows = [(i if i % 4 else None, " ".join("w" * r.randint(1, 3) for _ in range(r.randint(0, 9))) if i % 9 else None, r.choice(["en", "de", None]), r.choice(["s1", "s2"])) for i in range(60)]
+    rows += [(None, "the same text", "en", "s1")] * 25 + [(77, "one id and text", "de", "s2")] * 5  # copies, many without an id
+    rows = [(*x, max(1, len((x[1] or "").split()))) for x in rows]
+    docs = spark.createDataFrame([(*x, "old", 5, 6, "k") for x in rows], "doc_id bigint, text string, lang string, source string, n bigint, mix_domain string, mix_epoch int, mix_tokens int, `odd name.x` string").repartition(5)
+    budget = share * sum(x[4] for x in rows) // 100
+    for tokens in (None, F.col("n")):
+        out = mix(docs, F.lit("d"), {"lang": {"en": 3}}, F.lit(budget), 9, 2, tokens)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n", "odd name.x", "mix_domain", "mix_epoch", "mix_tokens"]
+        got = defaultdict(list)
+        for x in out.collect():
+            got[x["doc_id"], x["text"], x["mix_epoch"]].append(x["mix_tokens"])
+        assert {k: sorted(v) for k, v in got.items()} == _mixed_one_by_one(rows, {"en": 3}, budget, 9, 2)
+
+
+def _text_order(row):
+    h = xxhash.xxh64_intdigest((row[1] or "").encode(), seed=42)
+    return row[0] is None, -(row[0] or 0), h - (h >> 63 << 64), row[1] or ""
+
+
+@pytest.mark.parametrize("case", ["ties", "nulls", "copies", "distinct", "one"])
+def test_next_rows_of_hot_keys(spark, case):
+    r = random.Random(case)
+    text = lambda: " ".join(f"w{r.randrange(50)}" for _ in range(r.randint(0, 30)))
+    rows = [(r.randrange(-500, 500) if case != "distinct" else 7 * i, text()) for i in range(120 if case != "one" else 0)]
+    rows += {"ties": [(17, text()) for _ in range(80)], "nulls": [(None, r.choice([None, text()])) for _ in range(90)], "copies": [(17, "all the same text here")] * 60 + [(None, "the same again")] * 50, "distinct": [], "one": [(3, "all the same text here")] * 40}[case]
+    got = fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)).collect()
+    ordered, want = sorted(rows, key=_text_order), []
+    for a, b in zip(ordered, ordered[1:] + ordered[:1]):
+        x, y = a[1] or "", b[1] or ""
+        half = len(x) // 2
+        want.append((str(a[0]), len(x), hashlib.sha256((x[: len(x) - half] + y[:half]).encode()).hexdigest()))
+    assert sorted((str(x["doc_id"]), x["n_chars"], x["edited_sha256"]) for x in got) == sorted(want)
+
+
+def test_places_among_many_cuts(spark):
+    from quern.llm.fracminhash import not_above
+
+    r = random.Random(2)
+    for n in (0, 1, 2, 3, 10, 1000):
+        cuts = sorted(r.sample(range(-10**6, 10**6), n))
+        keys = [*cuts[:50], *(r.randrange(-10**6, 10**6) for _ in range(50)), -(1 << 63), (1 << 63) - 1]
+        rows = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", not_above(cuts, F.col("k")).alias("n")).collect()
+        assert [x["n"] for x in rows] == [sum(c <= x["k"] for c in cuts) for x in rows]
