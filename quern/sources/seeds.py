@@ -97,8 +97,14 @@ def _each(walk, name: str):
     return run
 
 
+def malformed(payloads: DataFrame) -> DataFrame:
+    """key, reason of the payloads (key bigint, json) that listing_posts() and comment_urls() give no rows for: missing, or no JSON."""
+    reason = F.when(F.coalesce(F.trim("json"), F.lit("")) == "", "missing_payload").when(F.expr("try_parse_json(json)").isNull(), "invalid_json")
+    return payloads.select("key", reason.alias("reason")).where("reason is not null")
+
+
 def listing_posts(payloads: DataFrame) -> DataFrame:
-    """key, seq and the fields of POST of the posts of JSON listings (key bigint, json), depth first."""
+    """key, seq and the fields of POST of the posts of JSON listings (key bigint, json), depth first; malformed() names the payloads that are none."""
     found = payloads.select("key", "json").mapInPandas(_each(_walk, "post"), "key bigint, seq bigint, post string")
     return found.select("key", "seq", F.from_json("post", POST).alias("p")).select("key", "seq", "p.*")
 

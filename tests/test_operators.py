@@ -63,6 +63,112 @@ def test_slugs(spark):
     assert {r["slug"] for r in C.slugged(rows.where("id in (5, 6)"), "id", "title", ["scope"], "post", taken).collect()} == {"post-3", "post-4"}
 
 
+def test_slugs_leave_out_taken_numbers(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    monkeypatch.setattr(C, "KEY_PARTS", 5)
+    titles = ["A b", "a b!", "A b 2", "a b 5", "c"]
+    rows = [(i, i % 2, r.choice(titles)) for i in range(80)]
+    taken = [(0, "a-b"), (0, "a-b-3"), (0, "a-b-4"), (0, "a-b-9"), (1, "a-b-02"), (1, "c-2"), (0, "a-b-5-2")]
+    got = {x["id"]: x["slug"] for x in C.slugged(spark.createDataFrame(rows, "id int, scope int, title string"), "id", "title", ["scope"], "post", spark.createDataFrame(taken, "scope int, slug string")).collect()}
+    want, used = {}, {*taken}
+    base = lambda t: "-".join(t.lower().replace("!", "").split())
+    plain = {}
+    for i, scope, title in rows:
+        plain.setdefault((scope, base(title)), i)
+    used |= set(plain)
+    for i, scope, title in rows:
+        b = base(title)
+        if plain[scope, b] == i and (scope, b) not in taken:
+            want[i] = b
+            continue
+        n = 2
+        while (scope, f"{b}-{n}") in used:
+            n += 1
+        want[i] = f"{b}-{n}"
+        used.add((scope, want[i]))
+    assert got == want
+
+
+def test_page_rank_of_divided_hubs(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    pairs = {(0, i) for i in range(1, 30)} | {(r.randrange(30), r.randrange(30)) for _ in range(60)}
+    e = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "src int, dst int")
+    nodes = spark.range(30).selectExpr("cast(id as int) as node")
+    whole = {x["node"]: x["rank"] for x in R.page_rank(e, nodes, 4).collect()}
+    monkeypatch.setattr(R, "HUB_LINKS", 3)
+    for node, rank in [(x["node"], x["rank"]) for x in R.page_rank(e, nodes, 4).collect()]:
+        assert rank == pytest.approx(whole[node])
+
+
+@pytest.mark.parametrize("rows_in_batch", ["10000", "10"])
+def test_changed_pages_at_any_batch_size(spark, tmp_path, rows_in_batch):
+    from quern.streaming import jobs as J
+
+    kind = "url string, last_crawled string"
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    marks = [(f"u{i % 3}", f"2024-01-{1 + i * 7 % 20:02}") for i in range(300)]
+    spark.createDataFrame(marks, kind).coalesce(1).write.parquet(folder)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows_in_batch)
+    try:
+        run = lambda: J.run_once(J.changed_pages(J.arriving(spark, folder, "*.parquet", spark.read.parquet(folder).schema)), out, str(tmp_path / "check"))
+        run()
+        first = [tuple(r) for r in spark.read.parquet(out).collect()]
+        assert sorted(first) == sorted(set(marks))
+        # the stored mark is the greatest: it is unchanged, any other is a change
+        spark.createDataFrame([("u0", max(m for u, m in marks if u == "u0")), ("u1", "2025-01-01"), ("u1", "2025-01-01")], kind).coalesce(1).write.mode("append").parquet(folder)
+        run()
+        assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == sorted([*set(marks), ("u1", "2025-01-01")])
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_backpressure(spark, monkeypatch):
+    from quern.streaming import jobs as J
+
+    monkeypatch.setattr(J, "STRETCH", 3)
+    waiting = [10, 4999, 5000, 4000, 1, 0, 30, 9000, 1, 1, 1, 1, 0, 4999]
+    got = [r["paused"] for r in J.may_crawl(spark.createDataFrame(list(enumerate(waiting)), "seq bigint, waiting bigint")).orderBy("seq").collect()]
+    assert got == [False, False, True, True, True, False, False, True, True, True, True, True, False, False]
+
+
+def test_a_search_is_corrected_and_logged(spark):
+    words = spark.createDataFrame([("cat",), ("engine",)], "word string")
+    weights = spark.createDataFrame([("u", "engine", 2.0), ("v", "cat", 1.0), ("v", "engine", 1.0)], "url string, word string, weight double")
+    meta = spark.createDataFrame([("u", "U", None, "text"), ("v", "V", None, "text")], "url string, title string, description string, summary_text string")
+    rank = spark.createDataFrame([("u", 0.9)], "node string, rank double")
+    found, log = S.answer(spark, weights, meta, rank, words, "Engin+cat")
+    assert [(r["url"], r["match_count"], r["did_you_mean"]) for r in found.orderBy("url").collect()] == [("u", 1, "engine cat"), ("v", 2, "engine cat")]
+    assert [r["q"] for r in log.collect()] == ["engine cat"]
+    found, log = S.answer(spark, weights, meta, rank, words, "Engin", spell=False)
+    assert found.count() == 0 and [r["q"] for r in log.collect()] == ["engin"]
+    assert S.answer(spark, weights, meta, rank, words, "  ")[1].count() == 0
+    with pytest.raises(ValueError):
+        S.search(weights, meta, rank, "cat", per_page=101)
+
+
+def test_malformed_payloads_are_named(spark):
+    rows = spark.createDataFrame([(1, "{}"), (2, "no json"), (3, None), (4, "[1]"), (5, " ")], "key bigint, json string")
+    assert {tuple(r) for r in D.malformed(rows).collect()} == {(2, "invalid_json"), (3, "missing_payload"), (5, "missing_payload")}
+
+
+def test_requests_that_write(spark):
+    from quern.operators import writes as N
+
+    com = spark.createDataFrame([(1, "Open", "open", False), (2, "Shut", "shut", True)], "community_id bigint, name string, slug string, is_private boolean")
+    mem = spark.createDataFrame([(2, 7), (2, 7)], "community_id bigint, user_id bigint")
+    made = {r["request_id"]: r for r in N.create_communities(spark.createDataFrame([(1, 7, "Cats"), (2, 8, "Cats"), (3, 8, "cats!"), (4, 8, "Open"), (5, 8, None), (6, 8, "x" * 121), (7, 9, "open!")], "request_id bigint, user_id bigint, name string"), com).collect()}
+    assert [(made[i]["status"], made[i]["reason"], made[i]["slug"]) for i in range(1, 8)] == [(201, None, "cats"), (422, "name_taken", None), (201, None, "cats-2"), (422, "name_taken", None), (422, "name_required", None), (422, "name_too_long", None), (201, None, "open-2")]
+    asked = [(1, 8, "shut", "t", "b", "text", None), (2, 7, "shut", "t", "b", "text", None), (3, 7, "none", "t", "b", "text", None), (4, 7, "open", "t", None, "link", "HTTPS://A.org/x#y"), (5, 7, "open", "T", None, "text", None)]
+    posts = {r["request_id"]: (r["status"], r["slug"], r["source_url"]) for r in N.create_posts(spark.createDataFrame(asked, "request_id bigint, user_id bigint, community_slug string, title string, body string, content_type string, url string"), com, mem, spark.createDataFrame([(2, "t")], "community_id bigint, slug string")).collect()}
+    assert posts == {1: (403, None, None), 2: (201, "t-2", None), 3: (404, None, None), 4: (201, "t", "https://a.org/x"), 5: (422, None, None)}
+
+
 def test_votes(spark):
     v = spark.createDataFrame([(1, 1, "post", 9, 1, 1), (2, 1, "post", 9, 1, 2), (3, 1, "post", 9, -1, 3), (4, 2, "post", 9, 1, 1), (5, 2, "comment", 9, 1, 1)], "event_id int, user_id int, target_type string, target_id int, value int, ts int")
     assert [r["delta"] for r in R.vote_deltas(v).orderBy("event_id").collect()] == [1, 0, -2, 1, 1]
