@@ -78,12 +78,19 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
 def neighbour_pairs(turns: DataFrame) -> DataFrame:
     """Pairs from plain conversations: chosen is the conversation, rejected has the last assistant reply of the next one.
 
-    The next conversation has the conv_id that is larger by 1, or else the smallest of all. A null conv_id is a conversation of its own.
+    The next conversation has the conv_id that is larger by 1, or else the smallest of all. A turn without a conv_id is a conversation of its
+    own, with pair_id null. Conversations of any length are whole; equal turns stay as often as they occur; an empty table gives an empty result.
+    Only the texts of last replies are dealt out a second time.
     """
-    at = last_assistant(F.col("turns"))
-    conv = conversations_as_arrays(turns).withColumn("reply", F.when(at >= 0, F.get("turns", F.greatest(at, F.lit(0)))["text"]))
-    reply = conv.where("conv_id is not null").select((F.col("conv_id") - 1).alias("before"), F.col("reply").alias("next_reply"), F.lit(True).alias("has_next"))
-    first = conv.where("conv_id is not null").agg(F.min_by("reply", "conv_id")).scalar()
-    rows = conv.join(reply, conv["conv_id"] == reply["before"], "left").withColumn("first_reply", first)
+    known = turns.where("conv_id is not null")
+    conv = conversations_as_arrays(known)
+    one = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    alone = turns.where("conv_id is null").select("conv_id", F.array(one).alias("turns"))
+    # conversations order their turns by turn, role and text: among assistant turns the greatest is the last
+    last = F.max(F.when(F.col("role") == "assistant", F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))["text"]
+    reply = known.groupBy((F.col("conv_id") - 1).alias("before")).agg(last.alias("next_reply")).withColumn("has_next", F.lit(True))
+    first = known.where(F.col("conv_id") == known.agg(F.min("conv_id")).scalar()).agg(last).scalar()
+    rows = conv.join(reply, conv["conv_id"] == reply["before"], "left").select("conv_id", "turns", "next_reply", "has_next")
+    rows = rows.unionByName(alone, allowMissingColumns=True).withColumn("first_reply", first)
     other = F.when(F.col("has_next"), F.col("next_reply")).otherwise(F.col("first_reply"))
     return rows.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), with_last_reply(F.col("turns"), other).alias("rejected"))
