@@ -47,6 +47,10 @@ _CUES = {
 }
 
 
+#: What may stand right before and right after personal data.
+_LEFT, _RIGHT = frozenset(" \t\n([<\"':=,;/|*#$&"), frozenset(" \t\n)]>\"':;,/|!?*#$&%")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -137,8 +141,8 @@ def span_features(stretch: str, a: int, b: int, cues: frozenset[str]) -> list[st
     other = {c for c in s if not c.isalnum()}
     form = "email" if "@" in s and _EMAIL_FORM.fullmatch(s) else "at" if "@" in s else "quad" if s.count(".") == 3 and other == {"."} and not letters else "mixed" if letters else "plus" if s[0] == "+" else "digits"
     before, after = stretch[a - 1] if a else " ", stretch[b : b + 2]
-    open_left = before in " \t\n([<\"':=,;/|"
-    open_right = not after or after[0] in " \t\n)]>\"':;,/|!?" or after[0] == "." and not after[1:].strip()
+    open_left = before in _LEFT
+    open_right = not after or after[0] in _RIGHT or after[0] == "." and not after[1:].strip()
     size = next(k for k, most in enumerate((3, 6, 7, 9, 10, 12, 15, 16, 19, 1 << 62)) if n <= most)
     out = ["bias", f"form={form}", f"left={open_left:d}", f"right={open_right:d}", f"bound={open_left and open_right:d}{form}", f"tail={len(s) > 48:d}"]
     if form == "quad":
@@ -160,7 +164,6 @@ def cue_kinds(before: tuple[str, ...]) -> frozenset[str]:
 
 _FORMS = ("email", "at", "quad", "mixed", "plus", "digits")
 _SIZES = (3, 6, 7, 9, 10, 12, 15, 16, 19)
-_LEFT, _RIGHT = frozenset(" \t\n([<\"':=,;/|"), frozenset(" \t\n)]>\"':;,/|!?")
 _KIND = re.compile(r"([0-9]+)|([^\W\d_]+)|(\S)")
 _DOMAIN_PART = re.compile(r"[A-Za-z0-9.-]+")
 #: Tokens whose spans are scored together, and stretches whose result a worker remembers.
