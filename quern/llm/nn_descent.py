@@ -5,8 +5,8 @@ Method
     planes). In each iteration a node gets a sample of its neighbours and of the nodes that have it as a neighbour,
     with their vectors, by joins, and introduces them to one another where one of the two is new: neighbours of neighbours become neighbours if
     they are nearer than the farthest so far. Samples are of fixed size, so a hub costs no more than another node.
-    A query walks the graph: it keeps the EF best nodes seen, and in each round expands the best EXPAND that it has not expanded.
-    Graph and walk use unit vectors of signed bytes; the results are measured on the original vectors in double precision.
+    A query walks the graph: it keeps the EF best nodes seen, and in each round expands the best EXPAND that it has not expanded, until
+    all are. Graph and walk use unit vectors of 16-bit integers; the results are measured on the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import map_batches, materialize, prepare, task_count
 
-NEIGHBOURS, SAMPLE, ITERATIONS = 64, 20, 16
+NEIGHBOURS, SAMPLE, ITERATIONS = 48, 16, 16
 TREES, LEAF = 8, 128
-EF, EXPAND, ROUNDS, EXACT = 160, 16, 6, 32
+EF, EXPAND = 96, 16
+#: Cosines of 16-bit vectors are off by less than this; what may be among the nearest within it is measured on the original vectors.
+MARGIN = 2e-4
 #: The graph is done when so few of its edges are new.
-SETTLED = 0.08
+SETTLED = 0.1
 SEED = 5
 GRAPH = "u bigint, ids array<bigint>, sims array<float>, fresh array<boolean>"
 
@@ -45,14 +47,14 @@ def _graph_batch(u: np.ndarray, v: np.ndarray, s: np.ndarray, fresh: np.ndarray)
 
 
 def _units(column: pa.Array) -> np.ndarray:
-    x = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1).astype(np.float32)
+    x = np.frombuffer(b"".join(column.to_pylist()), "<i2").reshape(len(column), -1).astype(np.float32)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _to_units(batch: pa.RecordBatch) -> pa.RecordBatch:
     x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-    # signed bytes of the vector with its largest component at 127; the length is taken out again on reading
-    x = np.rint(x / np.abs(x).max(1, keepdims=True) * 127).astype(np.int8)
+    # 16-bit integers of the vector with its largest component at 32767; the length is taken out again on reading
+    x = np.rint(x / np.abs(x).max(1, keepdims=True) * 32767).astype("<i2")
     return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], ["node", "unit"])
 
 
@@ -232,7 +234,7 @@ def neighbour_graph(nodes: DataFrame, iterations: int = ITERATIONS) -> DataFrame
         known = nodes.select(F.col("node").alias("x"), "unit").join(least, "x", "left").select("x", "unit", F.coalesce("least", F.lit(-2.0).cast("float")).alias("least"))
         met = _by(edges.join(known, "x").select("w", "x", "fresh", "least", "unit"), "w", "x").mapInArrow(_introduce, GRAPH)
         marked = map_batches(graph, _Edges(turn, True), GRAPH)
-        graph = materialize(_by(marked.unionByName(met), "u").mapInArrow(_merge, GRAPH), "graph")
+        graph = materialize(_by(marked.unionByName(met), "u").mapInArrow(_merge, GRAPH), "graph", graph)
         new, every = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))), F.sum(F.size("fresh"))).first()
         if (new or 0) <= SETTLED * (every or 0):
             break
@@ -292,21 +294,24 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame) -> Data
     near = materialize(near, "near")
     start = queries.join(graph.select(F.col("u").alias("query"), "ids", "sims"), "query").withColumn("done", F.transform("ids", lambda x: F.lit(False)))
     pools = materialize(start.select("query", "unit", "ids", "sims", "done", F.expr(f"slice(ids, 1, {EXPAND})").alias("wanted")).withColumn("done", F.transform("ids", lambda x, i: i < EXPAND)), "pools")
-    for _ in range(ROUNDS):
+    while pools.where(F.size("wanted") > 0).limit(1).count():
         asked = pools.select("query", F.explode("wanted").alias("w"))
         met = asked.join(near, asked["w"] == near["u"]).select("query", F.explode("near").alias("u")).distinct()
         empty = lambda kind: F.lit(None).cast(kind)
         met = met.join(nodes.select(F.col("node").alias("u"), "unit"), "u").select("query", "unit", empty("array<bigint>").alias("ids"), empty("array<float>").alias("sims"), empty("array<boolean>").alias("done"), "u")
         every = pools.select("query", "unit", "ids", "sims", "done", empty("bigint").alias("u")).unionByName(met)
         every = every.repartition(task_count(nodes.sparkSession), "query").sortWithinPartitions("query", F.col("u").asc_nulls_first())
-        pools = materialize(every.mapInArrow(_Pools(), POOL), "pools")
-        if not pools.where(F.size("wanted") > 0).limit(1).count():
-            break
+        pools = materialize(every.mapInArrow(_Pools(), POOL), "pools", pools)
     return pools
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors with their largest component between 0.5 and 1, by powers of two, so that no digit changes and no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def _measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-    a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64) for c in ("a", "b"))
+    a, b = (_scaled(batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)) for c in ("a", "b"))
     score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
     return pa.RecordBatch.from_arrays([batch.column("query"), batch.column("v"), pa.array(score)], ["query", "v", "score"])
 
@@ -320,7 +325,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """
     spark = prepare(vectors.sparkSession)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    rows = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>")).where(F.col("vec_id").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0))
+    rows = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>")).where(F.col("vec_id").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0))
     length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     rows = rows.where(F.size("embedding") == (length[0]["n"] if length else 0)).withColumn("node", F.xxhash64("embedding"))
     # copies beyond k + 1 cannot be among the k nearest of any row, as ties go to the smaller vec_id
@@ -330,7 +335,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     asked = materialize(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "node").distinct(), "asked")
     queries = asked.select(F.col("node").alias("query")).distinct().join(units.withColumnRenamed("node", "query"), "query")
     pools = graph_search(neighbour_graph(units), units, queries)
-    best = pools.select("query", F.explode(F.slice("ids", 1, EXACT)).alias("v")).unionByName(asked.select(F.col("node").alias("query"), F.col("node").alias("v")).distinct())
+    # the pool is in order: what is as near as its k-th within the margin
+    near = F.filter(F.arrays_zip("ids", "sims"), lambda x: x["sims"] >= F.get("sims", F.least(F.size("sims"), F.lit(k)) - 1) - MARGIN)
+    best = pools.select("query", F.explode(near["ids"]).alias("v")).unionByName(asked.select(F.col("node").alias("query"), F.col("node").alias("v")).distinct())
     exact = best.join(nodes.select(F.col("node").alias("query"), F.col("embedding").alias("a")), "query").join(nodes.select(F.col("node").alias("v"), F.col("embedding").alias("b")), "v")
     scored = map_batches(exact.select("query", "v", "a", "b"), _measure, "query bigint, v bigint, score double").join(nodes.select(F.col("node").alias("v"), "members"), "v")
     scored = scored.select("query", "score", F.explode("members").alias("vec_id"))

@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 from re import _parser
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -302,3 +303,35 @@ def test_places_among_many_cuts(spark):
         keys = [*cuts[:50], *(r.randrange(-10**6, 10**6) for _ in range(50)), -(1 << 63), (1 << 63) - 1]
         rows = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", not_above(cuts, F.col("k")).alias("n")).collect()
         assert [x["n"] for x in rows] == [sum(c <= x["k"] for c in cuts) for x in rows]
+
+
+def _recall(found, x, ids):
+    got = defaultdict(list)
+    for r in found:
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hit = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = x @ x[q] / (np.linalg.norm(x, axis=1) * np.linalg.norm(x[q]))
+        s[q] = -9
+        hit += len(set(ids[np.lexsort((ids, -s))[:5]].tolist()) & {v for v, _ in got[ids[q]]})
+        assert all(abs(s[np.flatnonzero(ids == v)[0]] - c) < 1e-9 for v, c in got[ids[q]])
+    return hit / (5 * (ids % 50 == 0).sum())
+
+
+def test_neighbours_in_large_clusters_of_near_equal_vectors(spark):
+    from quern.llm.nn_descent import nearest
+
+    r = np.random.default_rng(3)
+    x = np.concatenate([c + 0.002 * r.normal(size=(400, 16)) for c in r.normal(size=(4, 16))])
+    ids = np.arange(len(x)) * 5
+    assert _recall(nearest(spark.createDataFrame(list(zip(ids.tolist(), x.tolist())), "vec_id bigint, embedding array<double>")).collect(), x, ids) >= 0.95
+
+
+def test_vectors_are_measured_in_double_precision(spark):
+    from quern.llm.nn_descent import nearest
+
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [1.0, 1e-9, 0.0]), (2, [1e300, 1e299, 0.0]), (3, [1e-300, 2e-300, 0.0]), (4, [3.0, 0.0, 1e-5]), (5, [5e-324, 0.0, 5e-324])]
+    out = nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("rank").collect()
+    assert [x["vec_id"] for x in out] == [1, 4, 2, 5, 3]
+    want = [1.0, 1 / np.sqrt(1 + 1e-10 / 9), 1 / np.sqrt(1.01), np.sqrt(0.5), 1 / np.sqrt(5)]
+    assert all(abs(x["score"] - y) < 1e-14 for x, y in zip(out, want))
