@@ -86,9 +86,12 @@ def ur11(t: Tables) -> DataFrame:
     return t.listing.select("seq", U.listing_json(F.col("url")).alias("link"))
 
 
-@query("UR12", "SELECT seq, url AS link FROM {listing}")
+@query("UR12", "SELECT seq, CASE WHEN seq % 3 < 2 THEN url ELSE 'https://b.example.org/r?url=' || url_encode(url) END AS link FROM {listing}")
 def ur12(t: Tables) -> DataFrame:
-    return t.listing.select("seq", U.unwrapped(F.concat(F.lit("https://out.reddit.com/r?x=1&url="), F.url_encode("url"))).alias("link"))
+    # a redirect, a plain URL, and a URL of another host that only looks like a redirect
+    wrapped = lambda host: F.concat(F.lit(f"https://{host}/r?"), F.when(F.col("seq") % 2 == 0, "x=1&").otherwise(""), F.lit("url="), F.url_encode("url"))
+    shown = F.when(F.col("seq") % 3 == 0, wrapped("Out.reddit.com")).when(F.col("seq") % 3 == 1, F.col("url")).otherwise(F.concat(F.lit("https://b.example.org/r?url="), F.url_encode("url")))
+    return t.listing.select("seq", U.unwrapped(shown).alias("link"))
 
 
 @query("UR13", "SELECT seq FROM {listing} WHERE NOT contains(url, 'reddit.com')")

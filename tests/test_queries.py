@@ -26,7 +26,7 @@ def test_entry_points(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_the_rest_works_without_the_training_data_operators(tmp_path):
+def test_the_rest_works_without_the_training_data_operators(tmp_path, data):
     import os
     import shutil
     import subprocess
@@ -36,4 +36,5 @@ def test_the_rest_works_without_the_training_data_operators(tmp_path):
     shutil.copytree(os.path.join(root, "quern"), tmp_path / "quern", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 200 and not any(n.startswith('op') for n in q), len(q); e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    run = f"; from pyspark.sql import SparkSession as S; s = S.builder.master('local[4]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '4').getOrCreate(); assert all(q[n](s, {data!r}).count() for n in ('search', 'AG16', 'UR3', 'GR5', 'SRC7', 'ST4'))"
+    subprocess.run([sys.executable, "-c", code + run], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
