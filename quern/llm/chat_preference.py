@@ -63,7 +63,9 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     """pair_id, prompt_turns, prompt, chosen, rejected, chosen_mask, rejected_mask for each row of pairs.
 
     pairs: pair_id, chosen, rejected (arrays of struct<role, text>); null arrays are empty. Where both are the same, all turns are the
-    prompt and both completions are empty; where one begins the other, its completion is empty. Repeated rows are formatted alike.
+    prompt and both completions are empty; where one begins the other, its completion is empty. Repeated rows are formatted alike. Null roles
+    and texts must be empty strings, as conversations_as_arrays() makes them; other columns are ignored. Conversations and texts of any length
+    are rendered whole; an empty table gives an empty result.
     """
     kind = "array<struct<role:string,text:string>>"
     rows = pairs.select("pair_id", *(F.coalesce(F.col(c).cast(kind), F.array().cast(kind)).alias(c) for c in ("chosen", "rejected")))
