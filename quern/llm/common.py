@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,25 +22,30 @@ def prepare(spark: SparkSession) -> SparkSession:
     return importable(spark)
 
 
-def materialize(df: DataFrame, name: str, *gone: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads it again. It survives lost executors.
-
-    gone: tables of earlier calls that only df was made from; they are deleted when the new table is whole. The session's settings are
-    changed for this one job alone.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    # the table is whole when the job ends: its shuffle files are not needed again
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs in this block send Python workers BATCH_ROWS rows at once, and drop their shuffle files when they end; then the session's settings are as before."""
     rows = int(spark.conf.get(_BATCH))
     own = {_CLEANUP: "true", _BATCH: str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)}
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        yield
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialize(df: DataFrame, name: str, *gone: DataFrame) -> DataFrame:
+    """Cuts the lineage: writes df as a table in the shared folder and reads it again. It survives lost executors.
+
+    gone: tables of earlier calls that only df was made from; they are deleted when the new table is whole, as its shuffle files are.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    with small_batches(spark):
+        df.write.parquet(path)
     for table in gone:
         remove(spark, table._shared_path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -47,6 +53,17 @@ def materialize(df: DataFrame, name: str, *gone: DataFrame) -> DataFrame:
     return out
 
 
+_kept: dict = {}
+
+
+def kept(key: object, make: Callable) -> object:
+    """make(), once in a worker as long as nothing else is asked for: what an operator keeps goes when the worker goes on to another one."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def task_count(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

@@ -19,16 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_batches, prepare
+from quern.llm.common import kept, map_batches, prepare
 
 #: The bound of the labelled sample: SAMPLE_PIECES pieces of PIECE characters for each language, SAMPLE_ALL of all languages together, so
 #: that all automata stay below some 150 MB in a worker. With more than SAMPLE_ALL languages, each has one shorter piece.
 SAMPLE_PIECES, PIECE, SAMPLE_ALL = 160, 200, 1280
 LANE = 512
+#: Lanes that are parsed side by side.
+LANES = 4096
 #: The automaton of a sample of more symbols than this has its transitions by key instead of in a table.
 DENSE = 64
 _FLAG = 1 << 30
-_models: dict = {}
 _letters: list[np.ndarray] = []
 
 
@@ -87,7 +88,7 @@ class _Automaton:
 
     def __init__(self, codes: np.ndarray, symbols: int) -> None:
         own = np.unique(codes)
-        self.classes = np.full(symbols, len(own), np.int32)
+        self.classes = np.full(symbols, len(own), np.int16 if len(own) < 1 << 15 else np.int32)
         self.classes[own] = np.arange(len(own))
         self.width = len(own) + 1
         n, at, c, to = suffix_automaton(self.classes[codes])
@@ -121,8 +122,8 @@ class _Automaton:
     def parse(self, lanes: np.ndarray, sizes: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
         """Ends of phrases in each lane of symbols, of which the first sizes[i] count; goes_on: the text of the lane before goes on in this one."""
         ends, last = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int32)
-        for a in range(0, len(lanes), 16384):
-            order = a + np.argsort(-sizes[a : a + 16384], kind="stable")
+        for a in range(0, len(lanes), LANES):
+            order = a + np.argsort(-sizes[a : a + LANES], kind="stable")
             steps = self.classes.take(np.ascontiguousarray(lanes[order].T))
             alive = np.searchsorted(-sizes[order], -np.arange(lanes.shape[1]), "left")
             state, count = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
@@ -138,24 +139,28 @@ class _Automaton:
         while len(again):
             again = again[begun[again] != last[again - 1]]
             changed = []
-            for a in range(0, len(again), 16384):
-                own = again[a : a + 16384]
+            for a in range(0, len(again), LANES):
+                own = again[a : a + LANES]
                 old, new = begun[own].copy(), last[own - 1].copy()
                 begun[own] = new
-                t = 0
+                t, stop = 0, 0
                 while len(own):
-                    over = sizes[own] <= t
-                    if over.any():  # the lane ended before the parses met
-                        last[own[over]] = new[over]
-                        changed.append(own[over])
-                    live = ~over & (old != new)
-                    own, old, new = own[live], old[live], new[live]
-                    if len(own):
-                        c = self.classes.take(lanes[own, t])
-                        old, less = self.step(old, c)
-                        new, more = self.step(new, c)
-                        ends[own] += more - less
-                        t += 1
+                    if t >= stop:
+                        over = sizes[own] <= t
+                        if over.any():  # the lane ended before the parses met
+                            last[own[over]] = new[over]
+                            changed.append(own[over])
+                            own, old, new = own[~over], old[~over], new[~over]
+                        stop = sizes[own].min(initial=lanes.shape[1])
+                        continue
+                    c = self.classes.take(lanes[own, t])
+                    old, less = self.step(old, c)
+                    new, more = self.step(new, c)
+                    ends[own] += more - less
+                    t += 1
+                    apart = np.flatnonzero(old != new)
+                    if len(apart) < len(own):
+                        own, old, new = own[apart], old[apart], new[apart]
             after = np.concatenate(changed) + 1 if changed else np.zeros(0, np.int64)
             after = after[after < len(lanes)]
             again = np.unique(after[goes_on[after]])
@@ -237,11 +242,7 @@ def learn(docs: DataFrame) -> dict[str, str]:
 
 
 def parser(samples: dict[str, str]) -> CrossParser:
-    key = zlib.crc32(repr(sorted(samples.items())).encode("utf-8", "surrogatepass"))
-    if key not in _models:
-        _models.clear()
-        _models[key] = CrossParser(samples)
-    return _models[key]
+    return kept(("language", zlib.crc32(repr(sorted(samples.items())).encode("utf-8", "surrogatepass"))), lambda: CrossParser(samples))
 
 
 class _Predict:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quern.llm.common import map_batches, materialize, prepare, task_count, texts
+from quern.llm.common import kept, map_batches, materialize, prepare, task_count, texts
 
 WINDOW = 1024
 OPEN_WINDOWS = 64
@@ -30,7 +30,6 @@ END_ID = 0
 #: Pre-tokenizer of the byte-level vocabulary (a fixed value of that format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-_encoders: dict = {}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -62,10 +61,7 @@ class Encoder:
 
 
 def encoder(vocabulary: bytes) -> Encoder:
-    """Cached in each worker."""
-    if (key := zlib.crc32(vocabulary)) not in _encoders:
-        _encoders[key] = Encoder(vocabulary)
-    return _encoders[key]
+    return kept(("encoder", zlib.crc32(vocabulary)), lambda: Encoder(vocabulary))
 
 
 class _Counts:

@@ -167,7 +167,7 @@ _SIZES = (3, 6, 7, 9, 10, 12, 15, 16, 19)
 _KIND = re.compile(r"([0-9]+)|([^\W\d_]+)|(\S)")
 _DOMAIN_PART = re.compile(r"[A-Za-z0-9.-]+")
 #: Tokens whose spans are scored together, and stretches whose result a worker remembers.
-CHUNK, REMEMBERED = 10_000, 20_000
+CHUNK, REMEMBERED = 2000, 20_000
 
 
 class _Tokens:
@@ -367,7 +367,7 @@ class SemiField:
         for unit in dict.fromkeys(u for row in units for _, u in row if u not in self.known):
             todo.append(unit)
             size += len(unit[0])
-            if size > 4 * CHUNK:
+            if size > 5 * CHUNK:
                 now.update(zip(todo, self.decoded(todo), strict=True))
                 todo, size = [], 0
         now.update(zip(todo, self.decoded(todo), strict=True))
