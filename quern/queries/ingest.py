@@ -10,7 +10,7 @@ from quern.functions import urls as U
 from quern.operators import search as S
 from quern.operators.ranking import page_rank, saved
 from quern.queries.registry import query, rank_sql
-from quern.session import new_folder
+from quern.session import is_folder, new_folder
 from quern.sources import seeds as D
 from quern.sources import tables as W
 from quern.streaming import jobs as J
@@ -351,7 +351,9 @@ def ap22(t: Tables) -> DataFrame:
 
 # streaming: what has arrived is worked off once and compared with the batch result
 def _stream(t: Tables, name: str) -> DataFrame:
-    return J.arriving(t.spark, t.folder, f"{name}.parquet", getattr(t, name).schema)
+    # a table is one file, or a folder of files of which a thousand are worked off together
+    path, schema = f"{t.folder}/{name}.parquet", getattr(t, name).schema
+    return J.arriving(t.spark, path, "*", schema, 1000) if is_folder(t.spark, path) else J.arriving(t.spark, t.folder, f"{name}.parquet", schema)
 
 
 @query("ST1", "SELECT url, word, tf FROM {words}")

@@ -45,6 +45,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{_own[sc.applicationId]}/{uuid.uuid4().hex[:12]}-{name}"
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    found = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(found).isDirectory()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that new_folder() gave."""
     sc = spark.sparkContext
