@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.urls import source_url
+from quern.operators.ranking import saved
 
 #: Orders of feeds, threads and lists; each ends in a unique key.
 ORDERS = {
@@ -118,8 +119,8 @@ def slugged(rows: DataFrame, key: str, title: str, scope: list[str], default: st
     slug that it would make is taken or the plain slug of another title (foo-2). The columns of scope are not null.
     """
     by = [*scope, "__base"]
-    rows = rows.withColumn("__base", T.slug(F.col(title), default))
-    first = rows.groupBy(*by).agg(F.min(key).alias("__first"))
+    rows = saved(rows.withColumn("__base", T.slug(F.col(title), default)), "titles")  # they are read five times
+    first = saved(rows.groupBy(*by).agg(F.min(key).alias("__first")), "first_titles")
     used = first.select(*scope, F.col("__base").alias("__used"))
     held = None
     if taken is not None:
@@ -134,6 +135,10 @@ def slugged(rows: DataFrame, key: str, title: str, scope: list[str], default: st
     # numbers that are left out: before the i-th of them, n - 2 - i are free; equal ones make one step
     numbers = used.select(*scope, F.regexp_extract("__used", "^(.*)-[1-9][0-9]{0,8}$", 1).alias("__base"), F.regexp_extract("__used", "-([1-9][0-9]{0,8})$", 1).alias("__text"))
     numbers = numbers.where("__text <> ''").withColumn("__no", F.col("__text").cast("bigint")).where("__no > 1").select(*by, "__no").distinct().join(first.select(*by), by, "left_semi")
+    own = [c for c in rows.columns if c not in ("__base", "__first", "__held", "slug")]
+    plainly = rows.where(plain).withColumn("slug", F.col("__base")).select(*own, "slug")
+    if not numbers.limit(1).count():  # none is left out: the rows need not meet the steps
+        return plainly.unionByName(rest.withColumn("slug", F.concat_ws("-", "__base", (F.col("__r") + 1).cast("string"))).select(*own, "slug"))
     free = numbers.withColumn("__free", F.col("__no") - 1 - F.row_number().over(Window.partitionBy(*by).orderBy("__no"))).groupBy(*by, "__free").agg(F.count("*").alias("__n"))
     w = Window.partitionBy(*by).orderBy("__free")
     steps = free.withColumn("__skip", F.sum("__n").over(w)).withColumn("__until", F.lead("__free").over(w)).drop("__n")
@@ -141,8 +146,7 @@ def slugged(rows: DataFrame, key: str, title: str, scope: list[str], default: st
     same = [F.col(c) == F.col(f"__s_{c}") for c in by]
     rest = rest.join(steps, [*same, F.col("__r") > F.col("__free"), F.col("__until").isNull() | (F.col("__r") <= F.col("__until"))], "left")
     rest = rest.withColumn("slug", F.concat_ws("-", "__base", (F.col("__r") + 1 + F.coalesce("__skip", F.lit(0))).cast("string")))
-    own = [c for c in rows.columns if c not in ("__base", "__first", "__held", "slug")]
-    return rows.where(plain).withColumn("slug", F.col("__base")).select(*own, "slug").unionByName(rest.select(*own, "slug"))
+    return plainly.unionByName(rest.select(*own, "slug"))
 
 
 def write_gate(locked: Column, removed: Column) -> Column:
