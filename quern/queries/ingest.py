@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.bindings import Tables
 from quern.functions import urls as U
 from quern.operators import search as S
-from quern.operators.ranking import page_rank, saved
+from quern.operators.ranking import linked_pages, page_rank, saved
 from quern.queries.registry import query, rank_sql
 from quern.session import is_folder, new_folder
 from quern.sources import seeds as D
@@ -231,8 +231,7 @@ def snk11(t: Tables) -> DataFrame:
 @query("SNK12", rank_sql(2) + " SELECT node, round(rank, 10) AS rank FROM r2")
 def snk12(t: Tables) -> DataFrame:
     path = new_folder(t.spark, "pagerank")
-    nodes = t.edges.select(F.col("src").alias("node")).unionByName(t.edges.select(F.col("dst").alias("node"))).distinct()
-    ranks = page_rank(t.edges, nodes, 2)
+    ranks = page_rank(*linked_pages(t.edges), 2)
     W.write_table(ranks, path)
     return t.spark.read.schema(ranks.schema).parquet(path).select("node", F.round("rank", 10).alias("rank"))
 
