@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,13 @@ def terms_of(spark: SparkSession, q: str) -> DataFrame:
     return spark.range(1).select(F.explode(T.query_terms(F.lit(q))).alias("word"))
 
 
+def query_words(q: str) -> list[str]:
+    return sorted({t for t in q.replace("+", " ").lower().split(" ") if t})
+
+
 def matches(weights: DataFrame, q: str) -> DataFrame:
     """Postings of a query's terms; the terms reach the scan as a filter."""
-    terms = sorted({t for t in q.replace("+", " ").lower().split(" ") if t})
+    terms = query_words(q)
     return weights.where(F.col("word").isin(terms) if terms else F.lit(False))
 
 
@@ -126,16 +132,26 @@ def did_you_mean(query: Column, changed: Column) -> Column:
     return F.when(changed, query)
 
 
-def answer(spark: SparkSession, weights: DataFrame, metadata: DataFrame, rank: DataFrame, words: DataFrame, q: str, page: int = 1, spell: bool = True) -> tuple[DataFrame, DataFrame]:
+def asked(spark: SparkSession, words: DataFrame, q: str, spell: bool = True) -> tuple[str, bool]:
+    """A query as it is searched, with its terms corrected, and whether one was changed."""
+    row = corrected_query(spark, q, words).first() if spell else None  # one row
+    return (row["query"], row["changed"]) if row else (" ".join(q.lower().replace("+", " ").split()), False)
+
+
+def logged(spark: SparkSession, query: str) -> DataFrame:
+    """q: the row that a search adds to the log; none for an empty one."""
+    return spark.range(1).select(F.lit(query).alias("q")).where("trim(q) <> ''")
+
+
+def answer(spark: SparkSession, weights: DataFrame | Callable[[str], DataFrame], metadata: DataFrame, rank: DataFrame, words: DataFrame, q: str, page: int = 1, spell: bool = True) -> tuple[DataFrame, DataFrame]:
     """A search as one request: its terms are corrected, the page is cut and ordered, and the search is logged.
 
-    The results have query and changed, and did_you_mean where a term was changed; the log has one row with the corrected query, none for an empty one.
+    weights: all postings, or a function that gives those of a query. The results have query and changed, and did_you_mean where a term was
+    changed; the log has one row with the corrected query, none for an empty one.
     """
-    row = corrected_query(spark, q, words).first() if spell else None  # one row
-    query, changed = (row["query"], row["changed"]) if row else (" ".join(q.lower().replace("+", " ").split()), False)
-    found = search(weights, metadata, rank, query, page).withColumns({"query": F.lit(query), "changed": F.lit(changed)})
-    log = spark.range(1).select(F.lit(query).alias("q")).where("trim(q) <> ''")
-    return found.withColumn("did_you_mean", did_you_mean(F.col("query"), F.col("changed"))), log
+    query, changed = asked(spark, words, q, spell)
+    found = search(weights(query) if callable(weights) else weights, metadata, rank, query, page).withColumns({"query": F.lit(query), "changed": F.lit(changed)})
+    return found.withColumn("did_you_mean", did_you_mean(F.col("query"), F.col("changed"))), logged(spark, query)
 
 
 def sampled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -257,3 +257,63 @@ def test_folders_of_a_session(spark):
 
     a, b = new_folder(spark, "x"), new_folder(spark, "x")
     assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
+
+
+def test_words_of_pages_are_counted_in_place(spark):
+    """Pages of one row each are counted without a shuffle; pages of several rows are still counted together."""
+    rows = [("a", "The Sun sun moon. x1 X1 x1"), ("b", None), ("c", ""), ("d", " ".join(f"w{i} w{i % 50}" for i in range(1500))), (None, "sun")]
+    docs = spark.createDataFrame(rows, "url string, text string")
+    got = lambda d: sorted((r["url"] or "", r["word"], r["tf"]) for r in d.collect())
+    found = I.page_postings(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert got(found) == got(I.postings(I.tokens_of(docs))) and ("a", "x1", 3) in got(found) and sum(u == "d" for u, *_ in got(found)) == 1000
+    twice = docs.unionByName(docs.limit(1))
+    assert got(I.page_postings(twice)) == got(I.postings(I.tokens_of(twice))) and ("a", "x1", 6) in got(I.page_postings(twice))
+
+
+def test_a_search_makes_the_parts_it_reads(spark, data):
+    from quern.bindings import Tables
+    from quern.plans.index import Index
+
+    t = Tables(spark, data)
+    index = Index(t)
+    rows = lambda d: sorted(map(str, d.select("url", "word", "tf", F.round("weight", 9)).collect()))
+    assert rows(index.matched("thth+ond of")) == rows(S.matches(t.weights, "thth+ond of")) and rows(index.matched("")) == []
+    assert set(index.__dict__) == {"t", "postings", "idf"}
+    plan = index.matched("thth+ond")._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(word, [ond,thth])" in plan or "PushedFilters: [IsNotNull(word), In(word, [ond,thth])]" in plan
+    query, changed = S.asked(spark, index.dictionary, "Thth")
+    assert (query, changed) == ("thth", False) and set(index.__dict__) == {"t", "postings", "idf", "dictionary"}
+    assert sorted(r[0] for r in index.dictionary.collect()) == sorted(r[0] for r in t.dictionary.collect())
+
+
+def test_links_are_made_once(spark):
+    """The rounds read a table of links; their making, a join in the queries, is not run for each use of them."""
+    made = spark.sparkContext.accumulator(0)
+    spy = F.udf(lambda x: made.add(1) or x, "bigint")
+    edges = spark.createDataFrame([(1, 2), (2, 1), (1, 3)], "src bigint, dst bigint").select(spy("src").alias("src"), "dst")
+    got = {r["node"]: r["rank"] for r in R.page_rank(*R.linked_pages(edges), 2).collect()}
+    assert made.value == 3 and set(got) == {1, 2, 3}
+
+
+def test_images_of_several_rows(spark):
+    """An image that stands on two pages: the name's weight on one page replaces the other page's, as a full join has it."""
+    images = spark.createDataFrame([("p", "i", "cat-dog.png"), ("q", "i", "sun.png"), ("q", "j", "cat.png"), (None, "k", "Dog-dog.gif"), ("p", "l", None)], "page_url string, image_url string, filename string")
+    words = spark.createDataFrame([("p", "cat", 3), ("p", "sun", 2), ("q", "cat", 5), ("q", "sun", 7)], "url string, word string, tf bigint")
+    got = lambda d: {(r["image_url"], r["word"]): r["weight"] for r in d.collect()}
+    found = got(I.image_terms(images, words))
+    assert found == {("i", "cat"): 300.0, ("i", "dog"): 30.0, ("i", "sun"): 700.0, ("j", "cat"): 500.0, ("j", "sun"): 7.0, ("k", "dog"): 30.0, ("l", "cat"): 3.0, ("l", "sun"): 2.0}
+    assert got(I.image_terms(images, words.where("word = 'cat'"), terms=["cat"])) == {k: v for k, v in found.items() if k[1] == "cat"}
+    one = images.where("image_url <> 'i' or page_url = 'p'")
+    made = I.image_terms(one, words)
+    assert got(made) == {("i", "cat"): 300.0, ("i", "dog"): 30.0, ("i", "sun"): 2.0} | {k: v for k, v in found.items() if k[0] != "i"}
+    assert "image_url" not in "".join(x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x)
+
+
+def test_titles_are_made_once(spark):
+    """slugged() reads its rows as a table; the joins that they come from are not run for each of its steps."""
+    made = spark.sparkContext.accumulator(0)
+    spy = F.udf(lambda x: made.add(1) or x, "string")
+    rows = spark.createDataFrame([(1, 1, "A"), (2, 1, "a"), (3, 1, "b"), (4, 1, "A")], "id int, scope int, title string").select("id", "scope", spy("title").alias("title"))
+    assert {r["id"]: r["slug"] for r in C.slugged(rows, "id", "title", ["scope"], "post").collect()} == {1: "a", 2: "a-2", 3: "b", 4: "a-3"}
+    assert made.value == 4
